@@ -202,7 +202,7 @@ def _(t):
 
 
 @query(
-    "F13_safe_ratio", "district:s ti:i ratio:d8",
+    "F13_safe_ratio", "district:s ti:i ratio:d",
     "SELECT district, ti, CASE WHEN elevation <> 0 THEN price_mean / elevation END AS ratio FROM seasonal",
 )
 def _(t):
@@ -241,7 +241,7 @@ def _(t):
     )
 
 
-@query("F16_standardize_columns", "district_name:s yr:i price_mean:d4",
+@query("F16_standardize_columns", "district_name:s yr:i price_mean:d",
        "SELECT district_text AS district_name, year AS yr, price_mean FROM monthly_text")
 def _(t):
     m = t.view("monthly_text").select("district_text", "year", "price_mean")

@@ -46,7 +46,7 @@ VIEWS = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "monthly": """
         SELECT district, nk, block, year, month,
-               CASE WHEN count(*) % 7 = 0 THEN NULL ELSE avg(o_totalprice) END AS price_mean,
+               CASE WHEN count(*) % 7 = 0 THEN NULL ELSE avg(o_totalprice) / 6997e0 END AS price_mean,
                CAST(count(*) AS BIGINT) AS order_count,
                CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS urgent_event_count,
                CAST(nk AS DOUBLE) AS elevation
