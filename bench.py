@@ -35,7 +35,9 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-           "spark.ui.showConsoleProgress": "false"},
+           "spark.ui.showConsoleProgress": "false",
+           # small local inputs: keep one task per core after a shuffle
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import explain as ex
 from ..plans import reports as rp
+from ..session import cut_lineage
 from .q_evaluation import pred_df
 from .q_rasters import samples_df
 from .registry import query
@@ -12,13 +13,19 @@ from .registry import query
 CHANNELS, SIDE = 4, 4
 
 
-def linear_model(t1, t2, tab):
-    """Weighted sum with weights ((i mod 5) − 2)/4 of the first image, minus half the second, plus the features."""
-    import numpy as np
+def make_linear_model():
+    """Weighted sum with weights ((i mod 5) − 2)/4 of the first image, minus half the second, plus the features.
 
-    w = ((np.arange(t1.shape[1]) % 5) - 2) / 4.0
-    u = ((np.arange(tab.shape[1]) % 5) - 2) / 4.0
-    return t1 @ w - 0.5 * (t2 @ w) + tab @ u
+    A local function travels to the workers by value; they need not import this module.
+    """
+    def model(t1, t2, tab):
+        import numpy as np
+
+        w = ((np.arange(t1.shape[1]) % 5) - 2) / 4.0
+        u = ((np.arange(tab.shape[1]) % 5) - 2) / 4.0
+        return t1 @ w - 0.5 * (t2 @ w) + tab @ u
+
+    return model
 
 
 # contribution of every cell and feature of a sample to the linear score
@@ -33,7 +40,7 @@ TERMS = """
 @query("X10_score", "vec_id:i prediction:d abs_error:d squared_error:d",
        TERMS + "SELECT f.vec_id, f.whole AS prediction, abs(f.whole - label / 10e0) AS abs_error, (f.whole - label / 10e0) * (f.whole - label / 10e0) AS squared_error FROM f JOIN embeddings e ON e.vec_id = f.vec_id")
 def _(t):
-    return ex.score(samples_df(t), linear_model, ["vec_id"])
+    return ex.score(samples_df(t), make_linear_model(), ["vec_id"])
 
 
 @query("X10_score_logits", "vec_id:i y_pred_class_name:s prob_low:d",
@@ -41,11 +48,13 @@ def _(t):
 def _(t):
     from ..operators.evaluation import class_fields
 
+    linear = make_linear_model()
+
     def model(a, b, c):
         import numpy as np
 
         zero_a, zero_b, zero_c = a * 0, b * 0, c * 0
-        return np.stack([linear_model(a, zero_b, zero_c), linear_model(zero_a, b, zero_c), linear_model(zero_a, zero_b, c)], axis=1)
+        return np.stack([linear(a, zero_b, zero_c), linear(zero_a, b, zero_c), linear(zero_a, zero_b, c)], axis=1)
 
     scored = ex.score_logits(samples_df(t), model, ["vec_id"])
     return class_fields(scored.withColumn("true_id", F.lit(0)), "logits", "true_id")
@@ -55,7 +64,7 @@ def _(t):
        TERMS + """SELECT t.vec_id, CAST(floor(pos / 16) AS INT) + 1 AS band_index, 'band_0' || (CAST(floor(pos / 16) AS INT) + 1) AS band_name, max(whole) AS full_prediction,
           max(whole) - sum(c1 + c2) AS ablated_prediction, abs(sum(c1 + c2)) AS importance FROM t JOIN f ON f.vec_id = t.vec_id GROUP BY t.vec_id, CAST(floor(pos / 16) AS INT)""")
 def _(t):
-    return ex.ablate_bands(samples_df(t), linear_model, CHANNELS, ["vec_id"])
+    return ex.ablate_bands(samples_df(t), make_linear_model(), CHANNELS, ["vec_id"])
 
 
 NAMES = ["temp_t1", "rain_t1", "soil_t2", "crop_diff", "slope", "coast", "year"]
@@ -65,7 +74,7 @@ NAMES = ["temp_t1", "rain_t1", "soil_t2", "crop_diff", "slope", "coast", "year"]
        TERMS + """SELECT vec_id, pos AS feature_index, ['temp_t1', 'rain_t1', 'soil_t2', 'crop_diff', 'slope', 'coast', 'year', 'feature_007'][pos + 1] AS feature_name,
           ['temperature', 'humidity_rainfall', 'water_soil', 'agriculture', 'terrain', 'coastal_distance', 'time', 'other'][pos + 1] AS feature_group, abs(ct) AS importance FROM t WHERE pos < 8""")
 def _(t):
-    return ex.ablate_features(samples_df(t), linear_model, NAMES, ["vec_id"])
+    return ex.ablate_features(samples_df(t), make_linear_model(), NAMES, ["vec_id"])
 
 
 MODALITY_SQL = TERMS + """, m AS (SELECT vec_id, whole, abs(s1 + s2) AS image_contribution, abs(st) AS tabular_contribution, abs(s1) AS t1_contribution, abs(s2) AS t2_contribution,
@@ -76,11 +85,11 @@ MODALITY_SQL = TERMS + """, m AS (SELECT vec_id, whole, abs(s1 + s2) AS image_co
 
 @query("X12_ablate_modalities", "vec_id:i full_prediction:d " + " ".join(f"{c}:d" for c in ex.CONTRIBUTIONS) + " dominant_modality:s dominant_time_step:s", MODALITY_SQL)
 def _(t):
-    return ex.ablate_modalities(samples_df(t), linear_model, ["vec_id"])
+    return ex.ablate_modalities(samples_df(t), make_linear_model(), ["vec_id"])
 
 
 def heat_df(t, **kw):
-    return ex.occlusion(samples_df(t), linear_model, CHANNELS, SIDE, SIDE, ["vec_id"], window=2, stride=1, **kw)
+    return ex.occlusion(samples_df(t), make_linear_model(), CHANNELS, SIDE, SIDE, ["vec_id"], window=2, stride=1, **kw)
 
 
 def heat_sql(mask: str) -> str:
@@ -152,7 +161,7 @@ def modality_df(t):
     s = samples_df(t).withColumns({
         "change_class": fn.change_class("change_ratio"), "pair_type": F.lit("cross_season_sameyear"), "time_gap_group": F.lit("short"),
     })
-    return ex.ablate_modalities(s, linear_model, ["vec_id", "change_class", "pair_type", "time_gap_group"])
+    return ex.ablate_modalities(s, make_linear_model(), ["vec_id", "change_class", "pair_type", "time_gap_group"])
 
 
 CLASS_OF = "CASE WHEN label = 0 THEN 'low' WHEN label = 1 THEN 'medium' ELSE 'high' END"
@@ -241,7 +250,7 @@ def _(t):
        + "".join(f" UNION ALL SELECT '{c}_count', coalesce({c}, ''), count(*) FROM s GROUP BY coalesce({c}, '')" for c in ("change_class", "pair_type", "time_gap_group"))
        + " UNION ALL SELECT 'mean_abs_error', 'error_stats', avg(abs_error) FROM s UNION ALL SELECT 'median_abs_error', 'error_stats', median(abs_error) FROM s UNION ALL SELECT 'max_abs_error', 'error_stats', max(abs_error) FROM s")
 def _(t):
-    return rp.sample_selection_report(ex.representative_samples(pred_df(t), N16))
+    return rp.sample_selection_report(cut_lineage(ex.representative_samples(pred_df(t), N16)))
 
 
 def stage17(no: str, reason: str, source: str, limit: str, sort: str = "''", label: str | None = None) -> str:

@@ -147,16 +147,13 @@ VIEWS = {
                       CAST((l_orderkey % 50) * 64 AS STRING), '_o', CAST(l_orderkey AS STRING), 'l', CAST(l_linenumber AS STRING),
                       'k', CAST(l_partkey AS STRING), 'q', CAST(CAST(l_quantity AS INT) AS STRING)) AS patch_id
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
-    "labeled": f"""
+    "labeled": """
         SELECT patch_id, pair_id, district, split, pair_type, coalesce(time_gap_group, 'other') AS time_gap_group, x, y,
                64 AS patch_size, concat('/dw/', pair_id, '_1.tif') AS dw_path_t1, concat('/dw/', pair_id, '_2.tif') AS dw_path_t2,
-               label_status, change_ratio,
-               CASE WHEN change_ratio IS NULL THEN 'invalid' ELSE {_CLASS.format(r='change_ratio')} END AS change_class
-        FROM (SELECT *, CASE WHEN label_status = 'failed' THEN NULL
-                             ELSE CAST((l_partkey + 3 * l_orderkey + l_linenumber) % 100 AS DOUBLE) / 1e2 END AS change_ratio
-              FROM (SELECT *, CASE WHEN (l_orderkey + l_linenumber) % 37 = 0 THEN 'failed'
-                                   WHEN (l_orderkey + l_linenumber) % 23 = 0 THEN 'invalid_low_valid_ratio'
-                                   ELSE 'success' END AS label_status FROM li) a) b""",
+               CASE WHEN mark % 37 = 0 THEN 'failed' WHEN mark % 23 = 0 THEN 'invalid_low_valid_ratio' ELSE 'success' END AS label_status,
+               CASE WHEN mark % 37 <> 0 THEN CAST(percent AS DOUBLE) / 1e2 END AS change_ratio,
+               CASE WHEN mark % 37 = 0 THEN 'invalid' WHEN percent < 5 THEN 'low' WHEN percent < 20 THEN 'medium' ELSE 'high' END AS change_class
+        FROM (SELECT *, l_orderkey + l_linenumber AS mark, (l_partkey + 3 * l_orderkey + l_linenumber) % 100 AS percent FROM li) a""",
     "valid_labeled": """
         SELECT * FROM labeled WHERE label_status = 'success' AND change_ratio IS NOT NULL
                AND change_class IN ('low', 'medium', 'high')""",

@@ -88,9 +88,14 @@ def district_join_key(col) -> Column:
 
 
 def normalize_season(col) -> Column:
-    """Canonical season name, null when the text names no season."""
+    """Canonical season name, null when the text names no season.
+
+    A canonical name passes without touching a pattern.
+    """
     compact = F.regexp_replace(F.lower(strip(col)), "[ _]+", "")
-    return lookup(compact, {s.lower(): s for s in SEASONS})
+    return F.when(as_col(col).isin(*SEASONS), as_col(col)).otherwise(
+        lookup(compact, {s.lower(): s for s in SEASONS})
+    )
 
 
 def normalize_month(col) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import SEASONS, as_col, lookup
+from .text import SEASONS, as_col
 
 # Pair kinds and gap groups.
 PAIR_TYPES = ("same_season_multiyear", "cross_season_sameyear", "cross_season_multiyear")
@@ -12,7 +12,10 @@ GAP_GROUPS = ("same_year", "short", "medium", "long", "very_long", "other")
 
 
 def season_order(season) -> Column:
-    return lookup(as_col(season), {s: i for i, s in enumerate(SEASONS)})
+    chain = F.lit(None).cast("int")
+    for i, name in enumerate(SEASONS):
+        chain = F.when(as_col(season) == name, i).otherwise(chain)
+    return chain
 
 
 def season_of(year, month) -> Column:

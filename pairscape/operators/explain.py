@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import functions as fn
+from ..session import cut_lineage
 from .ranking import exact_quantiles, first_by_key, last_by_key, top_k
 
 # Ablation variants, contribution columns, stage values and texts.
@@ -325,35 +326,61 @@ def left_merge_coalesce(a: DataFrame, b: DataFrame, key: str = "patch_id") -> Da
     return out
 
 
-def _ranked_stage(rows: DataFrame, stage: Column, reason: Column, limit: Column, seed: int, most: int) -> DataFrame:
-    """(patch_id, stage, reason, place): the first ``limit`` rows per reason in hash order."""
-    staged = rows.select("patch_id", stage.alias("stage"), reason.alias("reason"), limit.alias("__limit")).filter(
-        F.col("reason").isNotNull()
-    ).withColumn("__h", fn.hash_key(seed, "reason", "patch_id"))
-    ranked = top_k(staged, ["reason"], ["__h", "patch_id"], most, "place")
-    return ranked.filter(F.col("place") <= F.col("__limit")).drop("__limit", "__h")
+ORDER = ["stage", "sort_text", "place", "patch_id"]
 
 
-def _choose(candidates: DataFrame, staged: DataFrame, fill: DataFrame, n: int) -> DataFrame:
-    """First ``n`` rows in (stage, reason order, place); fill rows come last."""
+def _offer(stage, reason, limit, sort_text=None) -> Column:
+    """One stage a row stands for: its number, its group, and how many rows the group offers."""
+    def lit(v):
+        return v if isinstance(v, Column) else F.lit(v)
+
+    return F.struct(
+        lit(stage).cast("int").alias("stage"), lit(reason).cast("string").alias("reason"), lit(limit).cast("long").alias("k"),
+        lit("" if sort_text is None else sort_text).cast("string").alias("sort_text"),
+    )
+
+
+def _by_hash(rows: DataFrame, offers: list[Column], most: int, seed: int) -> DataFrame:
+    """Offered rows: per reason the first ``k`` in hash order. All stages share one top-k pass."""
+    long = rows.select("patch_id", F.inline(F.array(*offers))).filter(
+        F.col("stage").isNotNull() & F.col("reason").isNotNull()
+    )
+    hashed = long.withColumn("__h", fn.hash_key(seed, "reason", "patch_id"))
+    ranked = top_k(hashed, ["reason"], ["__h", "patch_id"], most, "place")
+    return ranked.filter(F.col("place") <= F.col("k")).select("patch_id", "stage", "sort_text", "place", "reason")
+
+
+def _extreme(rows: DataFrame, score: str, k: int) -> dict[str, DataFrame]:
+    """The ``k`` rows with the lowest and the highest score, with their place."""
+    known = rows.filter(F.col(score).isNotNull()).select("patch_id", score, F.lit(1).alias("__all"))
+    return {
+        name: top_k(known, ["__all"], [order, "patch_id"], k, "place")
+        for name, order in (("low_prediction_error", F.col(score).asc()), ("high_prediction_error", F.col(score).desc()))
+    }
+
+
+def _choose(staged: DataFrame, fill: DataFrame, n: int) -> DataFrame:
+    """(patch_id, selection_reason): first ``n`` distinct ids in stage order; fill rows come last."""
     once = staged.groupBy("patch_id").agg(F.min(F.struct("stage", "sort_text", "place", "reason")).alias("s")).select("patch_id", "s.*")
     rest = fill.join(once.select("patch_id"), "patch_id", "left_anti")
-    order = ["stage", "sort_text", "place", "patch_id"]
-    head = once.unionByName(rest).orderBy(*order).limit(n)
-    keep = head.select("patch_id", F.col("reason").alias("selection_reason"), F.col("stage").alias("selection_stage_no"))
-    return candidates.join(keep, "patch_id")
+    head = once.unionByName(rest).orderBy(*ORDER).limit(n)
+    return head.select("patch_id", F.col("reason").alias("selection_reason"))
 
 
 def representative_samples(rows: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """Diverse test samples: classes, extreme errors, pair types, gap groups, districts, then strata.
 
     Every stage offers its first max(2, n/20) rows whether or not they were
-    taken before; the first ``n`` distinct rows in stage order win. Stages are
-    top-k queries, so only their few rows meet in one place.
+    taken before; the first ``n`` distinct rows in stage order win. Only the
+    narrow columns the stages need are materialized, stages are top-k queries,
+    and the full rows of the ``n`` winners are fetched at the end.
     """
     per = max(2, int(n) // 20)
-    cand = first_by_key(rows.filter(F.col("split") == "test"), ["patch_id"], ["pair_id"])
-    cand = cand.withColumn("__err", fn.prediction_error(cand.columns))
+    tests = rows.filter(F.col("split") == "test")
+    slim = cut_lineage(first_by_key(
+        tests.select("patch_id", "pair_id", "change_class", "pair_type", "time_gap_group", "district", fn.prediction_error(rows.columns).alias("__err")),
+        ["patch_id"], ["pair_id"],
+    ))
 
     def code(col: str, values, first: int) -> Column:
         chain = F.lit(None).cast("int")
@@ -361,82 +388,61 @@ def representative_samples(rows: DataFrame, n: int = 100, seed: int = 42) -> Dat
             chain = F.when(F.col(col) == v, first + i).otherwise(chain)
         return chain
 
-    class_no = code("change_class", fn.CLASS_NAMES, 1)
-    type_no = code("pair_type", fn.PAIR_TYPES, 6)
-    gap_no = code("time_gap_group", STAGE_GAPS, 9)
     district = F.coalesce("district", F.lit(""))
-    offers = F.array(
-        F.struct(class_no.alias("stage"), F.concat(F.lit("change_class_"), "change_class").alias("reason"), F.lit(per).alias("k"), F.lit("").alias("sort_text")),
-        F.struct(type_no.alias("stage"), F.concat(F.lit("pair_type_"), "pair_type").alias("reason"), F.lit(per).alias("k"), F.lit("").alias("sort_text")),
-        F.struct(gap_no.alias("stage"), F.concat(F.lit("time_gap_group_"), "time_gap_group").alias("reason"), F.lit(per).alias("k"), F.lit("").alias("sort_text")),
-        F.struct(F.lit(14).alias("stage"), F.concat(F.lit("district_"), district).alias("reason"), F.lit(1).alias("k"), district.alias("sort_text")),
-    )
-    long = cand.select("patch_id", F.inline(offers)).filter(F.col("stage").isNotNull())
-    hashed = long.withColumn("__h", fn.hash_key(seed, "reason", "patch_id"))
-    by_hash = top_k(hashed, ["reason"], ["__h", "patch_id"], per, "place").filter(F.col("place") <= F.col("k")).select(
-        "patch_id", "stage", "sort_text", "place", "reason"
-    )
-    known = cand.filter(F.col("__err").isNotNull()).select("patch_id", "__err", F.lit(1).alias("__all"))
-
-    def extreme(order: Column, stage: int, reason: str) -> DataFrame:
-        best = top_k(known, ["__all"], [order, "patch_id"], per, "place")
-        return best.select("patch_id", F.lit(stage).alias("stage"), F.lit("").alias("sort_text"), "place", F.lit(reason).alias("reason"))
-
-    staged = by_hash.unionByName(extreme(F.col("__err").asc(), 4, "low_prediction_error")).unionByName(
-        extreme(F.col("__err").desc(), 5, "high_prediction_error")
-    )
+    staged = _by_hash(slim, [
+        _offer(code("change_class", fn.CLASS_NAMES, 1), F.concat(F.lit("change_class_"), "change_class"), per),
+        _offer(code("pair_type", fn.PAIR_TYPES, 6), F.concat(F.lit("pair_type_"), "pair_type"), per),
+        _offer(code("time_gap_group", STAGE_GAPS, 9), F.concat(F.lit("time_gap_group_"), "time_gap_group"), per),
+        _offer(14, F.concat(F.lit("district_"), district), 1, district),
+    ], per, seed)
+    for stage, (reason, best) in zip((4, 5), _extreme(slim, "__err", per).items()):
+        staged = staged.unionByName(best.select(
+            "patch_id", F.lit(stage).alias("stage"), F.lit("").alias("sort_text"), "place", F.lit(reason).alias("reason")
+        ))
     stratum = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("change_class", "pair_type", "time_gap_group")])
-    reason = F.lit("stratified_random_fill")
-    taken = staged.select("patch_id").distinct()
-    open_rows = cand.select("patch_id", stratum.alias("sort_text")).join(taken, "patch_id", "left_anti").withColumn(
-        "__h", fn.hash_key(seed, F.lit("fill"), "patch_id")
-    )
-    fill = top_k(open_rows, ["sort_text"], ["__h", "patch_id"], n, "turn").select(
-        "patch_id", (F.col("turn") + 100).alias("stage"), "sort_text", F.lit(0).alias("place"), reason.alias("reason")
+    open_rows = slim.select("patch_id", stratum.alias("sort_text")).join(staged.select("patch_id").distinct(), "patch_id", "left_anti")
+    hashed = open_rows.withColumn("__h", fn.hash_key(seed, F.lit("fill"), "patch_id"))
+    fill = top_k(hashed, ["sort_text"], ["__h", "patch_id"], int(n), "turn").select(
+        "patch_id", (F.col("turn") + 100).alias("stage"), "sort_text", F.lit(0).alias("place"),
+        F.lit("stratified_random_fill").alias("reason"),
     )
-    return _choose(cand.drop("__err"), staged, fill, int(n))
+    chosen = _choose(staged, fill, int(n))
+    return first_by_key(tests.join(chosen, "patch_id"), ["patch_id"], ["pair_id"])
 
 
 def handoff_samples(pred: DataFrame, index: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
     """Samples to hand over: per class, extreme errors, spread over districts, types and gaps, random fill."""
     per = max(1, int(n) // 12)
-    merged = left_merge_coalesce(first_by_key(pred, ["patch_id"], ["pair_id"]), first_by_key(index, ["patch_id"], ["npz_path"]))
-    parts = []
-
-    def add(ranked: DataFrame, stage: int, sort_text: Column) -> None:
-        parts.append(ranked.select("patch_id", F.lit(stage).alias("stage"), sort_text.alias("sort_text"), "place", "reason"))
-
-    class_no = F.array_position(F.array(*[F.lit(c) for c in fn.CLASS_NAMES]), F.col("change_class"))
-    classes = _ranked_stage(
-        merged.filter(F.col("change_class").isin(*fn.CLASS_NAMES)), class_no,
-        F.concat(F.lit("class_"), "change_class"), F.lit(min(per, n)), seed, per,
+    dims = {6: "district", 7: "pair_type", 8: "time_gap_group"}
+    used = ("patch_id", "pair_id", "change_class", "abs_error", "y_true_change_ratio", "y_pred_change_ratio", *dims.values())
+
+    def narrow(df: DataFrame, order: str) -> DataFrame:
+        return first_by_key(df.select(*dict.fromkeys([c for c in (*used, order) if c in df.columns])), ["patch_id"], [order])
+
+    slim = cut_lineage(left_merge_coalesce(narrow(pred, "pair_id"), narrow(index, "npz_path")))
+    class_no = F.nullif(F.array_position(F.array(*[F.lit(c) for c in fn.CLASS_NAMES]), F.col("change_class")), F.lit(0))
+    offers = [_offer(class_no, F.concat(F.lit("class_"), "change_class"), min(per, int(n)))]
+    present = {stage: c for stage, c in dims.items() if c in slim.columns}
+    spread = slim.agg(F.struct(*[F.count_distinct(c).alias(c) for c in present.values()]).alias("s")).scalar()
+    counted = slim.withColumn("__values", spread)
+    for stage, c in present.items():
+        group = F.concat(F.lit(f"diverse_{c}|"), c)
+        limit = F.greatest(F.lit(1), F.floor(F.lit(per) / F.greatest(F.lit(1), F.col(f"__values.{c}"))))
+        offers.append(_offer(stage, group, limit, group))
+    staged = _by_hash(counted, offers, per, seed).withColumn(
+        "reason", F.when(F.col("stage") > 5, F.substring_index("reason", "|", 1)).otherwise(F.col("reason"))
     )
-    parts.append(classes.select("patch_id", F.col("stage").cast("int").alias("stage"), F.lit("").alias("sort_text"), "place", "reason"))
-    if "abs_error" in merged.columns:
-        known = merged.filter(F.col("abs_error").isNotNull()).select("patch_id", "abs_error", F.lit(1).alias("__all"))
-        for stage, reason, order in ((4, "low_prediction_error", F.col("abs_error").asc()), (5, "high_prediction_error", F.col("abs_error").desc())):
-            pool = top_k(known, ["__all"], [order, "patch_id"], max(per * 2, 1))
-            add(_ranked_stage(pool, F.lit(stage), F.lit(reason), F.lit(per), seed, per), stage, F.lit(""))
-    for stage, col in ((6, "district"), (7, "pair_type"), (8, "time_gap_group")):
-        if col not in merged.columns:
-            continue
-        values = merged.agg(F.greatest(F.lit(1), F.count_distinct(col)).alias("n")).scalar()
-        some = merged.filter(F.col(col).isNotNull()).withColumn("__n", values)
-        limit = F.greatest(F.lit(1), F.floor(F.lit(per) / F.col("__n")))
-        ranked = _ranked_stage(some, F.lit(stage), F.concat(F.lit(f"diverse_{col}|"), col), limit, seed, per)
-        parts.append(ranked.select(
-            "patch_id", F.lit(stage).alias("stage"), F.col("reason").alias("sort_text"), "place", F.lit(f"diverse_{col}").alias("reason")
-        ))
-    staged = parts[0]
-    for p in parts[1:]:
-        staged = staged.unionByName(p)
-    h = merged.select("patch_id", fn.hash_key(seed, F.lit("fill"), "patch_id").alias("sort_text"))
-    # enough rows to fill up even if every staged row is among them
-    bound = int(n) + (3 + 2) * per + int(n)
-    fill = h.join(staged.select("patch_id").distinct(), "patch_id", "left_anti").orderBy("sort_text", "patch_id").limit(bound).select(
+    if "abs_error" in slim.columns:
+        for stage, (reason, pool) in zip((4, 5), _extreme(slim, "abs_error", per * 2).items()):
+            staged = staged.unionByName(_by_hash(pool.drop("place"), [_offer(stage, reason, per)], per, seed))
+    hashed = slim.select("patch_id", fn.hash_key(seed, F.lit("fill"), "patch_id").alias("sort_text"))
+    fill = hashed.join(staged.select("patch_id").distinct(), "patch_id", "left_anti").orderBy("sort_text", "patch_id").limit(int(n)).select(
         "patch_id", F.lit(9).alias("stage"), "sort_text", F.lit(0).alias("place"), F.lit("random_fill").alias("reason")
     )
-    return _choose(merged, staged, fill, int(n))
+    chosen = cut_lineage(_choose(staged, fill, int(n)))
+    winners = first_by_key(pred.join(chosen, "patch_id"), ["patch_id"], ["pair_id"])
+    ids = chosen.select("patch_id")
+    return left_merge_coalesce(winners, first_by_key(index.join(ids, "patch_id", "left_semi"), ["patch_id"], ["npz_path"]))
 
 
 def chosen_predictions(pred: DataFrame, chosen: DataFrame) -> DataFrame:

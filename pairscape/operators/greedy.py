@@ -15,63 +15,73 @@ def capped_selection(
     order: list[str],
     resources: list[tuple[Column, Column]],
     used: DataFrame | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """The rows a sequential first-come selection in ``order`` would accept.
 
-    ``resources`` are (name, capacity) columns of each row; ``used`` (resource,
-    used) is capacity spent before. Done in rounds: rank the open rows inside
-    every resource, accept a row whose rank fits the remaining capacity of all
-    its resources, close rows that meet a full resource, repeat. Such a row
-    cannot be blocked by an earlier one, and a closed row would have been
-    refused, so the set equals the sequential one. The first open row is always
-    accepted, so every round makes progress.
+    ``resources`` are (name, capacity) columns of each row; ``used``
+    (resource, used, cap) is capacity spent before. Done in rounds: rank the
+    open rows inside every resource, accept a row whose rank fits the remaining
+    capacity of all its resources, drop rows that use a full resource, repeat.
+    Such a row cannot be blocked by an earlier one, and a dropped row would have
+    been refused, so the set equals the sequential one. The first open row is
+    always accepted, so every round makes progress; a round that accepts
+    nothing found no open row.
 
-    A resource many rows share is ranked in ``SALTS`` parts first; at most its
-    remaining capacity from each part reaches the final ranking. Every round is
-    checkpointed.
+    ``total`` names the resource that all rows sharing any resource share too
+    (the overall target of a split). A round then needs only the first rows of
+    each total, as many as it has capacity left: no later row can be accepted in
+    it, and every earlier competitor is among them. Ranking happens in
+    ``SALTS`` parts first, so a hot total is not ordered in one task.
+
+    ``df`` is read once per round and should be materialized. What grows with
+    the rounds is the accepted rows, bounded by the capacities.
     """
-    entries = F.array(*[
-        F.struct(name.cast("string").alias("resource"), cap.cast("long").alias("cap")) for name, cap in resources
-    ])
-    state = cut_lineage(df.select(key, *order_only(order, key), entries.alias("__res"), F.lit(0).alias("__state")))
-    spent_before = used.select("resource", F.col("used").cast("long").alias("used")) if used is not None else None
+    n = len(resources)
+    names, caps = [f"__r{i}" for i in range(n)], [f"__c{i}" for i in range(n)]
+    rest = [c for c in order if c != key]
+    rows = df.select(
+        key, *rest, *[r.cast("string").alias(a) for (r, _), a in zip(resources, names)],
+        *[c.cast("long").alias(a) for (_, c), a in zip(resources, caps)],
+    ).filter(F.least(*[F.col(c) for c in caps]) > 0 if n > 1 else F.col(caps[0]) > 0)
+    entries = F.array(*[F.struct(F.col(r).alias("resource"), F.col(c).alias("cap")) for r, c in zip(names, caps)])
+    widest = None if total is None else rows.agg(F.max(caps[total])).first()[0]
+    accepted = cut_lineage(rows.limit(0))
     while True:
-        spent = (
-            state.filter(F.col("__state") == 1).select(F.explode("__res.resource").alias("resource"))
-            .groupBy("resource").agg(F.count(F.lit(1)).alias("used"))
-        )
-        if spent_before is not None:
-            spent = spent.unionByName(spent_before).groupBy("resource").agg(F.sum("used").alias("used"))
-        claims = (
-            state.filter(F.col("__state") == 0).select(key, *order_only(order, key), F.inline("__res"))
-            .join(spent, "resource", "left")
-            .withColumn("left", F.col("cap") - F.coalesce("used", F.lit(0)))
-        )
-        judged = claims.groupBy(key).agg(F.min("left").alias("__least"))
-        closed = judged.filter(F.col("__least") <= 0).select(key, F.lit(2).alias("__new"))
-        open_claims = claims.join(closed, key, "left_anti").withColumn(
-            "__salt", F.pmod(F.xxhash64(key), F.lit(SALTS))
-        )
+        spent = accepted.select(F.explode(entries).alias("e")).select("e.resource", F.lit(1).cast("long").alias("used"), "e.cap")
+        if used is not None:
+            spent = spent.unionByName(used.select("resource", F.col("used").cast("long").alias("used"), F.col("cap").cast("long").alias("cap")))
+        spent = spent.groupBy("resource").agg(F.sum("used").alias("used"), F.max("cap").alias("cap"))
+        full = spent.filter(F.col("used") >= F.col("cap")).select("resource")
+        live = rows.join(accepted.select(key), key, "left_anti")
+        for r in names:
+            live = live.join(full.withColumnRenamed("resource", r), r, "left_anti")
+        salted = live.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        if total is not None and widest is not None:
+            t, left = names[total], F.col(caps[total]) - F.coalesce(F.col("__used"), F.lit(0))
+            part = Window.partitionBy(t, "__salt").orderBy(*order)
+            first = salted.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= int(widest))
+            totals = spent.select(F.col("resource").alias(t), F.col("used").alias("__used"))
+            whole = Window.partitionBy(t).orderBy(*order)
+            salted = (
+                first.join(totals, t, "left").filter(F.col("__r") <= left)
+                .withColumn("__r", F.row_number().over(whole)).filter(F.col("__r") <= left).drop("__r", "__used")
+            )
+        claims = salted.select(key, *rest, "__salt", F.inline(entries)).join(
+            spent.select("resource", "used"), "resource", "left"
+        ).withColumn("__left", F.col("cap") - F.coalesce("used", F.lit(0)))
         part = Window.partitionBy("resource", "__salt").orderBy(*order)
         whole = Window.partitionBy("resource").orderBy(*order)
         fitting = (
-            open_claims.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= F.col("left"))
-            .withColumn("__r", F.row_number().over(whole)).filter(F.col("__r") <= F.col("left"))
+            claims.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= F.col("__left"))
+            .withColumn("__r", F.row_number().over(whole)).filter(F.col("__r") <= F.col("__left"))
         )
-        accepted = fitting.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(
-            F.col("__n") == len(resources)
-        ).select(key, F.lit(1).alias("__new"))
-        state = cut_lineage(
-            state.join(accepted.unionByName(closed), key, "left")
-            .withColumn("__state", F.coalesce("__new", "__state")).drop("__new")
-        )
-        if state.filter(F.col("__state") == 0).isEmpty():
+        fits = fitting.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == n).select(key)
+        taken = cut_lineage(rows.join(fits, key, "left_semi"))
+        if taken.isEmpty():
             break
-    return df.join(state.filter(F.col("__state") == 1).select(key), key, "left_semi")
-
-
-def order_only(order: list[str], key: str) -> list[str]:
-    return [c for c in order if c != key]
+        accepted = cut_lineage(accepted.unionByName(taken))
+    return df.join(accepted.select(key), key, "left_semi")
 
 
 def diverse_files(inventory: DataFrame, count: int = 3, path: str = "full_path") -> DataFrame:
@@ -83,20 +93,18 @@ def diverse_files(inventory: DataFrame, count: int = 3, path: str = "full_path")
     order = ["district", "year", "season", path]
     ok = inventory.filter(F.col("parse_status") == "success").dropna(subset=["district", "year"])
     # only a district-year's first file can be chosen
-    firsts = ok.withColumn(
+    firsts = cut_lineage(ok.withColumn(
         "__r", F.row_number().over(Window.partitionBy("district", "year").orderBy("season", path))
-    ).filter(F.col("__r") <= 1).drop("__r")
+    ).filter(F.col("__r") <= 1).drop("__r"))
     resources = [
         (F.concat(F.lit("d|"), "district"), F.lit(1)),
         (F.concat(F.lit("y|"), F.col("year").cast("string")), F.lit(1)),
         (F.lit("all"), F.lit(count)),
     ]
-    chosen = cut_lineage(capped_selection(firsts, path, order, resources))
+    chosen = cut_lineage(capped_selection(firsts, path, order, resources, total=2))
     if chosen.count() < count:
         chosen = firsts.orderBy(*order).limit(count)
         if chosen.count() < count:
             raise ValueError(f"fewer than {count} files can be selected")
     return chosen
 
-
-__all__ = ["capped_selection", "diverse_files"]

@@ -103,12 +103,13 @@ def _select(pairs: DataFrame, targets: dict[str, int], reuse: int, seed: int, sh
     target = F.lit(0)
     for split, n in targets.items():
         target = F.when(F.col("split") == split, n).otherwise(target)
-    base = pair_priority(pairs, targets, seed, shares).withColumn("split_target", target)
+    narrow = pairs.select("pair_id", "split", "pair_type", "time_gap_group", "image_id_t1", "image_id_t2")
+    base = cut_lineage(pair_priority(narrow, targets, seed, shares).withColumn("split_target", target))
     image = [(F.concat_ws("|", F.lit("image"), "split", c), F.lit(reuse)) for c in ("image_id_t1", "image_id_t2")]
     whole = (F.concat_ws("|", F.lit("split"), "split"), F.col("split_target"))
     typed = (F.concat_ws("|", F.lit("type"), "split", "pair_type"), F.col("type_quota"))
 
-    first = capped_selection(base, "pair_id", ["priority", "pair_type", "pair_id"], [*image, typed, whole])
+    first = cut_lineage(capped_selection(base, "pair_id", ["priority", "pair_type", "pair_id"], [*image, typed, whole], total=3))
     first = first.withColumn(
         "selected_reason", F.concat_ws("_", F.lit("target"), "pair_type", "time_gap_group")
     )
@@ -116,16 +117,22 @@ def _select(pairs: DataFrame, targets: dict[str, int], reuse: int, seed: int, sh
         "__h", fn.hash_key(seed + 1, "pair_id")
     )
     used = first.select(F.explode(F.array("image_id_t1", "image_id_t2")).alias("image"), "split")
-    used = used.groupBy(F.concat_ws("|", F.lit("image"), "split", "image").alias("resource")).agg(F.count(F.lit(1)).alias("used"))
-    taken = first.groupBy(F.concat_ws("|", F.lit("split"), "split").alias("resource")).agg(F.count(F.lit(1)).alias("used"))
-    fill = capped_selection(rest, "pair_id", ["__h", "pair_id"], [*image, whole], used.unionByName(taken))
+    used = used.groupBy(F.concat_ws("|", F.lit("image"), "split", "image").alias("resource")).agg(
+        F.count(F.lit(1)).alias("used"), F.lit(reuse).alias("cap")
+    )
+    taken = first.groupBy(F.concat_ws("|", F.lit("split"), "split").alias("resource")).agg(
+        F.count(F.lit(1)).alias("used"), F.max("split_target").alias("cap")
+    )
+    fill = capped_selection(rest, "pair_id", ["__h", "pair_id"], [*image, whole], used.unionByName(taken), total=2)
     fill = fill.drop("__h").withColumn("selected_reason", F.lit("backfill_reuse_limited"))
-    chosen = first.unionByName(fill).drop("type_quota", "priority", "split_target")
-    usage = image_use(chosen)
+    keys = cut_lineage(first.unionByName(fill).select("pair_id", "split", "image_id_t1", "image_id_t2", "selected_reason"))
+    usage = image_use(keys)
+    counted = keys
     for t in ("t1", "t2"):
-        side = usage.select(F.col("split"), F.col("image_id").alias(f"image_id_{t}"), F.col("uses").alias(f"image_use_count_{t}"))
-        chosen = chosen.join(side, ["split", f"image_id_{t}"])
-    return cut_lineage(chosen.withColumn("max_image_use_used", F.lit(reuse)))
+        side = usage.select("split", F.col("image_id").alias(f"image_id_{t}"), F.col("uses").alias(f"image_use_count_{t}"))
+        counted = counted.join(side, ["split", f"image_id_{t}"])
+    marks = counted.select("pair_id", "selected_reason", "image_use_count_t1", "image_use_count_t2")
+    return cut_lineage(pairs.join(marks, "pair_id").withColumn("max_image_use_used", F.lit(reuse)))
 
 
 def constrained_pairs(

@@ -169,11 +169,13 @@ def exact_quantiles(
     ``percentile`` and ``median`` gather all distinct values of a group in one
     task. Here a mergeable sketch first brackets each wanted rank; one pass
     counts the rows below the bracket, and only rows inside it are sorted. The
-    bracket is five times wider than the sketch's error bound, and a rank that
-    still fell outside would raise instead of giving a wrong number.
+    bracket is five times wider than the sketch's error bound, groups of a few
+    thousand rows are sorted whole, and a rank that still fell outside would
+    raise instead of giving a wrong number.
     """
     names, wanted = list(probs), list(probs.values())
     accuracy = max(1, int(round(5 / margin)))
+    small = int(4 / margin)  # below this size a bracket could miss a neighbouring rank
     v = df.select(*group, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     ends = [q for p in wanted for q in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = v.groupBy(*group).agg(
@@ -187,7 +189,8 @@ def exact_quantiles(
 
     # one row per (row, wanted rank) that is inside the bracket; below-counts beside it
     marks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.when(F.col("__v") < F.get("__e", F.lit(2 * i)), 0)
+        F.struct(F.lit(i).alias("i"), F.when(F.col("__size") <= small, 1)
+                 .when(F.col("__v") < F.get("__e", F.lit(2 * i)), 0)
                  .when(F.col("__v") <= F.get("__e", F.lit(2 * i + 1)), 1).otherwise(2).alias("zone"))
         for i in range(len(names))
     ])

@@ -85,11 +85,12 @@ def _lookup(tab: DataFrame, features: list[str], order: list) -> DataFrame:
 
 
 def _pair_keys(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns({
+    seasons = pairs.withColumns({f"__s{t}": fn.normalize_season(f"season_t{t}") for t in (1, 2)})
+    return seasons.withColumns({
         "district_join_key": fn.district_join_key("district"),
-        "__t1": fn.time_index("year_t1", fn.normalize_season("season_t1")),
-        "__t2": fn.time_index("year_t2", fn.normalize_season("season_t2")),
-    })
+        "__t1": fn.time_index("year_t1", "__s1"),
+        "__t2": fn.time_index("year_t2", "__s2"),
+    }).drop("__s1", "__s2")
 
 
 def _windows(keyed: DataFrame) -> DataFrame:
@@ -241,23 +242,27 @@ def train_stats(df: DataFrame, cols: list[str] | None = None, split: str = "spli
 def impute_scale(df: DataFrame, stats: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Fill nulls with the train median and standardize, on every split.
 
-    The statistics reach the rows as one small map (a scalar subquery bounded
+    The statistics reach the rows as one small array (a scalar subquery bounded
     by the number of columns), so the wide table is not shuffled. Without train
     rows there are no statistics and the job stops with an error.
     """
     cols = cols or model_features(df)
-    packed = stats.select(F.struct("feature", F.struct("median", "mean", "scale")).alias("e"))
-    table = packed.agg(F.map_from_entries(F.collect_list("e")).alias("m")).scalar()
-    with_stats = df.withColumn("__stats", table)
-    none = F.raise_error(F.lit("train split has no rows; cannot fit imputer and scaler")).cast("double")
-
-    def scaled(c: str) -> Column:
-        s = F.try_element_at("__stats", F.lit(c))
-        value = F.coalesce(fn.not_nan(c), s["median"])
-        return F.when(s.isNull(), none).otherwise((value - s["mean"]) / s["scale"]).alias(c)
-
-    kept = set(cols)
-    return with_stats.select(*[scaled(c) if c in kept else F.col(c) for c in df.columns])
+    number = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
+    known = stats.select(F.struct(number.alias("i"), "median", "mean", "scale").alias("e")).filter(F.col("e.i") > 0)
+    table = known.agg(F.array_sort(F.collect_list("e")).alias("a")).scalar()
+    fault = F.raise_error(F.lit("no statistics for every feature; has the train split rows?")).cast(
+        "array<struct<i:bigint,median:double,mean:double,scale:double>>"
+    )
+    checked = df.withColumn("__a", table).withColumn(
+        "__stats", F.when(F.size("__a") == len(cols), F.col("__a")).otherwise(fault)
+    )
+
+    def scaled(i: int, c: str) -> Column:
+        s = F.get("__stats", F.lit(i))
+        return ((F.coalesce(fn.not_nan(c), s["median"]) - s["mean"]) / s["scale"]).alias(c)
+
+    place = {c: i for i, c in enumerate(cols)}
+    return checked.select(*[scaled(place[c], c) if c in place else F.col(c) for c in df.columns])
 
 
 def complete_pairs(pairs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

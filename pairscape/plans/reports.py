@@ -24,17 +24,16 @@ def long_report(
     cols = [fn.as_col(c).cast("string").alias(d) for d, c in zip(dims, counts.values())]
     base = df.select("*", *cols)
     aggs = [F.count(F.lit(1)).alias("__n"), *[m.cast("double").alias(a) for a, m in metric_cols.items()]]
-    if not dims:
-        grouped = base.agg(*aggs).withColumn("__gid", F.lit(0))
-    else:
-        sets = [[F.col(d)] for d in dims] + ([[]] if metrics else [])
-        grouped = base.groupingSets(sets, *[F.col(d) for d in dims]).agg(*aggs, F.grouping_id().alias("__gid"))
-    full = (1 << len(dims)) - 1
     entry = "array<struct<summary_type:string,value:string,count:double>>"
     rows = F.array(*[
         F.struct(F.lit(metric_type).alias("summary_type"), F.lit(n).alias("value"), F.col(a).alias("count"))
         for n, a in zip(metrics, metric_cols)
     ]).cast(entry)
+    if not dims:
+        return base.agg(*aggs).select(F.inline(rows))
+    sets = [[F.col(d)] for d in dims] + ([[]] if metrics else [])
+    grouped = base.groupingSets(sets, *[F.col(d) for d in dims]).agg(*aggs, F.grouping_id().alias("__gid"))
+    full = (1 << len(dims)) - 1
     chain = F.when(F.col("__gid") == full, rows) if metrics else None
     for i, name in enumerate(counts):
         one = F.array(F.struct(
@@ -42,7 +41,13 @@ def long_report(
         )).cast(entry)
         hit = F.col("__gid") == (full ^ (1 << (len(dims) - 1 - i)))
         chain = F.when(hit, one) if chain is None else chain.when(hit, one)
-    return grouped.select(F.inline(chain)).filter(F.col("value").isNotNull())
+    found = grouped.select(F.inline(chain)).filter(F.col("value").isNotNull())
+    if not metrics:
+        return found
+    # an empty table has no row even for the empty grouping set: its metrics come
+    # from an aggregate over nothing, let through only if a single-row probe fails
+    blank = df.limit(0).agg(*aggs).select(F.inline(rows))
+    return found.unionByName(blank.filter(df.limit(1).agg(F.count(F.lit(1)) == 0).scalar()))
 
 
 def n_rows() -> Column:

@@ -42,4 +42,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pairscape-ckpt-"))
-    return df.checkpoint(eager=True)
+    # The names are changed around the checkpoint: a checkpointed plan can carry
+    # constraints on columns it no longer has, and the renaming projection drops
+    # them before a later union trips over them.
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain.checkpoint(eager=True).toDF(*df.columns)
