@@ -100,14 +100,16 @@ def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42) -
     row of every bin comes before the (k+1)-th of any: with n_b rows in bin b,
     the turn of row r of bin b is Σ min(n_b', r) plus the earlier bins that
     still have a row, so no ordering of a whole pair is needed: bins hold the
-    rows and a pair has at most ceil(sqrt(max))² bins. A repeated patch id stops
-    the job.
+    rows and a pair has at most ceil(sqrt(max))² bins. Only the coordinates are
+    ranked; the full rows are joined to the chosen ids once. A repeated patch id
+    stops the job.
     """
     if max_per_pair <= 0:
         raise ValueError("max_per_pair must be positive")
     per_axis = max(1, math.ceil(math.sqrt(max_per_pair)))
     half = F.col("patch_size").cast("double") / 2
-    centered = patches.withColumns({
+    narrow = patches.select("patch_id", "pair_id", "x", "y", "patch_size")
+    centered = narrow.withColumns({
         "patch_center_x": F.col("x").cast("double") + half, "patch_center_y": F.col("y").cast("double") + half,
     })
     span = centered.groupBy("pair_id").agg(
@@ -139,8 +141,11 @@ def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42) -
         "patch_id", F.when(twice, F.raise_error(F.lit("sampled patch ids are not unique")).cast("string")).otherwise(F.col("patch_id"))
     )
     ratio = F.least(total, F.lit(max_per_pair)) / total
-    temp = [c for c in checked.columns if c.startswith("__")]
-    return checked.withColumn("pair_sampling_ratio", ratio).drop(*temp)
+    marks = checked.select(
+        "patch_id", "pair_id", "patch_center_x", "patch_center_y", "sampled_from_total_pair_patches",
+        ratio.alias("pair_sampling_ratio"),
+    )
+    return patches.join(marks, ["patch_id", "pair_id"])
 
 
 def _labels(valid: Column, changed: Column, total: Column, minimum: float) -> dict[str, Column]:

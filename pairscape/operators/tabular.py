@@ -85,12 +85,13 @@ def _lookup(tab: DataFrame, features: list[str], order: list) -> DataFrame:
 
 
 def _pair_keys(pairs: DataFrame) -> DataFrame:
-    seasons = pairs.withColumns({f"__s{t}": fn.normalize_season(f"season_t{t}") for t in (1, 2)})
-    return seasons.withColumns({
+    """Canonical seasons, the district's join key and both time indexes."""
+    canonical = pairs.withColumns({f"season_{t}": fn.normalize_season(f"season_{t}") for t in ("t1", "t2")})
+    return canonical.withColumns({
         "district_join_key": fn.district_join_key("district"),
-        "__t1": fn.time_index("year_t1", "__s1"),
-        "__t2": fn.time_index("year_t2", "__s2"),
-    }).drop("__s1", "__s2")
+        "__t1": fn.time_index("year_t1", "season_t1"),
+        "__t2": fn.time_index("year_t2", "season_t2"),
+    })
 
 
 def _windows(keyed: DataFrame) -> DataFrame:
@@ -148,10 +149,9 @@ def endpoint_features(pairs: DataFrame, tab: DataFrame, order=("year",)) -> Data
 
 
 def _join_spans(keyed: DataFrame, wide: DataFrame) -> DataFrame:
-    """Null-safe on the district key: a pair without district keeps its row."""
-    w = wide.withColumnsRenamed({c: f"{c}__w" for c in SPAN})
-    same = [F.col(c).eqNullSafe(F.col(f"{c}__w")) for c in SPAN]
-    return keyed.join(w, same, "left").drop(*[f"{c}__w" for c in SPAN])
+    """Left join on the span; a pair whose district has no key finds nothing and lacks everything."""
+    out = keyed.join(wide, SPAN, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(True)) for c in MISSING_FLAGS if c in wide.columns})
 
 
 def between_features(pairs: DataFrame, tab: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def pair_features(pairs: DataFrame, tab: DataFrame, order=("year",)) -> DataFram
         .withColumn("tabular_district_missing", F.col("__in").isNull()).drop("__in")
     )
     joined = _join_spans(keyed, wide)
-    s1, s2 = fn.normalize_season("season_t1"), fn.normalize_season("season_t2")
+    s1, s2 = F.col("season_t1"), F.col("season_t2")
     gap = F.col("time_gap_years") if extra else F.col("year_t2") - F.col("year_t1")
     return joined.select(
         *PAIR_METADATA, gap.cast("int").alias("time_gap_years"),
