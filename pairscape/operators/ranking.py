@@ -86,8 +86,7 @@ def last_by_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
 def unique_ids(df: DataFrame, col: str, order: list) -> DataFrame:
     """Append ``_2``, ``_3``, … to the second, third, … occurrence of an id.
 
-    Copies of one id are ranked in hash sub-buckets of the order columns'
-    values when the order is a single unique column; see ``positions``.
+    Ids are meant to be nearly unique: the copies of one id meet in one task.
     """
     rn = F.row_number().over(Window.partitionBy(col).orderBy(*order))
     numbered = df.withColumn("__n", rn)

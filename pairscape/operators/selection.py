@@ -15,9 +15,10 @@ DISTRICT_FLOOR, DISTRICT_SHARE = 300, 0.08
 
 
 def valid_condition() -> Column:
-    return F.coalesce(
-        (F.col("label_status") == "success") & fn.is_finite(F.col("change_ratio").try_cast("double"))
-        & F.col("change_class").isin(*fn.CLASS_NAMES), F.lit(False),
+    """Plain conjuncts, so that a filter on status and class reaches the scan."""
+    return (
+        (F.col("label_status") == "success") & F.col("change_class").isin(*fn.CLASS_NAMES)
+        & fn.is_finite(F.col("change_ratio").try_cast("double"))
     )
 
 
