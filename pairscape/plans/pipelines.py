@@ -19,7 +19,7 @@ def feature_tables(
 
     Imputation and scaling are fitted before incomplete pairs are removed.
     """
-    seasonal = tabular.monthly_to_seasonal(tabular.clean_table(monthly))
+    seasonal = cut_lineage(tabular.monthly_to_seasonal(tabular.clean_table(monthly)))
     assigned, unassigned = splits.assign_split(images, splits.split_districts(images, seed=seed))
     candidates = pair_ops.forward_pairs(assigned)
     chosen = pair_ops.constrained_pairs(candidates, targets, seed=seed)
