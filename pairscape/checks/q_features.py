@@ -243,3 +243,13 @@ def _(t):
     return rp.store_report(lab, index, lab.filter("x = 0"), index.filter("y = 0"))
 
 
+
+
+@query("V6_check_columns", "missing:s n:i", "SELECT unnest(['crs', 'district_name']) AS missing, (SELECT count(*) FROM seasonal) AS n")
+def _(t):
+    from ..functions import check_columns
+
+    s = seasonal_df(t)
+    lacking = check_columns(s, {"district", "year", "district_name", "crs"}, strict=False)
+    names = F.explode(F.array(*[F.lit(c) for c in lacking]))
+    return s.agg(F.count("*").alias("n")).select(names.alias("missing"), "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -65,6 +66,16 @@ def detect_keys(df: DataFrame) -> dict[str, str]:
     return found
 
 
+def check_columns(df: DataFrame, required, strict: bool = True) -> list[str]:
+    """Required names the table lacks; an error, or with ``strict=False`` a warning."""
+    missing = sorted(set(required) - set(df.columns))
+    if missing and strict:
+        raise ValueError(f"missing required columns: {missing}")
+    if missing:
+        warnings.warn(f"missing columns: {missing}", stacklevel=2)
+    return missing
+
+
 def numeric_features(df: DataFrame, exclude=()) -> list[str]:
     """Numeric columns in table order; booleans do not count as numbers."""
     skip = set(exclude)

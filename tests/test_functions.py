@@ -111,3 +111,12 @@ def test_seeded_hash_depends_on_key_only(spark):
     again = spark.range(49, -1, -1).repartition(3).withColumn("h", fn.hash_key(7, "id"))
     assert {tuple(r) for r in df.collect()} == {tuple(r) for r in again.collect()}
     assert df.filter(F.col("h") == fn.hash_key(8, "id")).isEmpty()
+
+
+def test_required_columns(spark):
+    df = spark.createDataFrame([], "a int, b int")
+    assert fn.check_columns(df, ["a"]) == []
+    with pytest.raises(ValueError, match="c"):
+        fn.check_columns(df, ["a", "c"])
+    with pytest.warns(UserWarning):
+        assert fn.check_columns(df, ["d", "c"], strict=False) == ["c", "d"]
