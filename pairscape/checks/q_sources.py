@@ -4,11 +4,12 @@ Each writes what it derives from the given tables to a fresh folder and reads it
 back through the source under test.
 """
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import patches as pt
+from ..session import shared_folder
 from ..sources import files, store, tables
 from ..streaming.labels import incremental_labels
 from .q_evaluation import REG, pred_df
@@ -17,13 +18,8 @@ from .registry import query
 
 
 def scratch(t) -> str:
-    """A folder all executors can reach: below the session's checkpoint folder where one is set."""
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="pairscape-io-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/pairscape-io-{uuid.uuid4().hex}"
+    """A folder all executors can reach, below the session's shared folder."""
+    return f"{shared_folder(t.spark)}/pairscape-io-{uuid.uuid4().hex}"
 
 
 @query("S1_load_save_table", "kind:s district:s year:i season:s price_mean:d",
