@@ -18,15 +18,18 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import list_column, text_batches
+
 WORD_BPE = "word_bpe_49k.json"
 #: Strings whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: In texts of these characters, lower() and the pattern below do what the library does: they are in NFC and one to one.
 _LATIN = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -173,6 +176,17 @@ def decode_column(ids, tokenizer: str = WORD_BPE):
 
 
 def bpe_roundtrip(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
-    """doc_id, ids and decoded text of each row of ``docs``; repeated rows each have one."""
-    ids = docs.select("doc_id", encode_column(F.col("text"), tokenizer).alias("ids"))
-    return ids.withColumn("decoded", decode_column(F.col("ids"), tokenizer))
+    """doc_id, ids and decoded text of each row of ``docs``; repeated rows each have one.
+
+    Both directions run in one task over pieces of about 2 MB of text, so a worker
+    holds one piece's ids and one copy of the tables.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(tokenizer)
+        for batch, texts in text_batches(batches):
+            ids = [bpe.encode(t) for t in texts]
+            decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(ids, pa.int32()), decoded], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(both, "doc_id long, ids array<int>, decoded string")
