@@ -1,7 +1,7 @@
 """Substring dedup by hashed units of lines.
 
 A text is cut into lines, a line into units: after a word that ends a sentence and
-after words whose own hash says so (one in twelve). Cuts depend on the words
+after words whose own hash says so (one in eight). Cuts depend on the words
 beside them alone, so a passage has the same units wherever it stands in a line.
 Units are normalised (case, white space and outer punctuation of words do not
 count) and hashed to 96 bits. Over all documents the unit with the smallest
@@ -27,7 +27,7 @@ from ..session import stored
 from .common import has_bit, key_bits, mixed, shared, text_batches
 
 MIN_WORDS = 8
-CUT_EVERY = 12
+CUT_EVERY = 8
 #: Bits of the filter of repeated units: fixed, 8 MB in a broadcast.
 FILTER_BITS = 26
 
