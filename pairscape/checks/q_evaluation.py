@@ -56,11 +56,11 @@ def _(t):
 
 
 @query("A8_multitask_metrics", "metric:s value:d",
-       f"""WITH r AS (SELECT {REG} FROM predictions WHERE x > 0), c AS (SELECT * FROM ({CLS_SQL}) z)
+       f"""WITH r AS (SELECT {REG} FROM predictions), c AS (SELECT * FROM ({CLS_SQL.replace(' AND p.x > 0', '')}) z)
            SELECT 'reg_' || metric AS metric, value FROM (SELECT * FROM r) UNPIVOT INCLUDE NULLS (value FOR metric IN (mae, mse, rmse, r2, pearson_corr, mean_pred, mean_target))
            UNION ALL SELECT 'cls_' || metric, value FROM (SELECT * FROM c) UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(CLS)}))""")
 def _(t):
-    return ev.multitask_metrics(pred_df(t).filter("x > 0"), "y_pred_change_ratio", "y_true_change_ratio", "pred_id", "true_id")
+    return ev.multitask_metrics(pred_df(t), "y_pred_change_ratio", "y_true_change_ratio", "pred_id", "true_id")
 
 
 def ce_sql(weights, eps) -> str:

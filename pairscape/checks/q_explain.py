@@ -193,12 +193,12 @@ def _(t):
 # --- sample choice -------------------------------------------------------------------------
 
 MERGE_PRED = "SELECT patch_id, CASE WHEN x % 128 = 0 THEN '' ELSE pair_id END AS pair_id, CASE WHEN y = 0 THEN NULL ELSE district END AS district, split, change_class, pair_type, time_gap_group, " \
-    "CASE WHEN x = 64 THEN NULL ELSE y_true END AS y_true_change_ratio, y_pred AS prediction, abs_error FROM predictions WHERE experiment = 'cnn_regression'"
+    "CASE WHEN x = 64 THEN NULL ELSE y_true END AS y_true_change_ratio, y_pred AS prediction, abs_error FROM predictions"
 
 
 @query("J10_merge_predictions", "patch_id:s pair_id:s district:s split:s change_class:s npz_path:s y_true_change_ratio:d y_pred_change_ratio:d abs_error:d",
        """SELECT p.patch_id, i.pair_id, i.district, p.split, p.change_class, i.npz_path, CASE WHEN x = 64 THEN i.change_ratio ELSE y_true END AS y_true_change_ratio, y_pred AS y_pred_change_ratio, abs_error
-          FROM predictions p JOIN npz_index i ON i.patch_id = p.patch_id WHERE experiment = 'cnn_regression'""")
+          FROM predictions p JOIN npz_index i ON i.patch_id = p.patch_id""")
 def _(t):
     index = t.view("npz_index")
     twice = index.unionByName(index.filter("change_class = 'low'").withColumn("npz_path", F.concat(F.lit("!"), "npz_path")))
@@ -330,4 +330,4 @@ def best_sql(where: str, prefix: str, k: int) -> str:
          || 'Top image bands were ' || array_to_string(b.items, ', ') || '. ' || 'Top tabular drivers were ' || array_to_string(f.items[1:3], ', ') || '.' AS plain_english_explanation
        FROM v JOIN b ON b.patch_id = v.patch_id JOIN f ON f.patch_id = v.patch_id""")
 def _(t):
-    return ex.case_studies(*case_inputs(t), max_cases=1_000_000)
+    return ex.case_studies(*case_inputs(t), max_cases=None)

@@ -50,11 +50,11 @@ def _(t):
     return tables.load_metrics(t.spark, path)
 
 
-@query("S5_write_by_split", "split:s patch_id:s", "SELECT split, patch_id FROM labeled WHERE split IN ('train', 'test')")
+@query("S5_write_by_split", "split:s patch_id:s", "SELECT split, patch_id FROM labeled")
 def _(t):
     path = tables.write_by_split(t.view("labeled").select("patch_id", "split", "x", "y"), f"{scratch(t)}/by_split")
-    parts = [tables.read_split(t.spark, path, s) for s in ("train", "test")]
-    return parts[0].unionByName(parts[1])
+    parts = [tables.read_split(t.spark, path, s) for s in ("train", "val", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 ART = "SELECT concat('/out/', CASE page_id % 3 WHEN 0 THEN 'cnn_regression' WHEN 1 THEN 'x' ELSE 'runs' END, '/', CASE WHEN page_id % 5 = 0 THEN 'my_vit_regression_map' ELSE concat('page', CAST(page_id AS STRING)) END, " \

@@ -208,6 +208,8 @@ def error_comparison(pred: DataFrame, dims=ERROR_DIMENSIONS, experiment: str = "
     """Error statistics per experiment, overall and per dimension value (null is a value)."""
     dims = [d for d in dims if d in pred.columns]
     slim = pred.withColumn("overall", F.lit("all"))
+    for c in ("abs_error", "squared_error", "y_true_change_ratio", "y_pred_change_ratio"):
+        slim = slim.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     long = by_dimension(
         slim, ["overall", *dims],
         [experiment, "abs_error", "squared_error", "y_true_change_ratio", "y_pred_change_ratio"],

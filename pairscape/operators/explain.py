@@ -304,7 +304,7 @@ def merge_predictions(pred: DataFrame, index: DataFrame, order: str = "npz_path"
     def pick(mine: list[str], theirs: list[str], kind: str = "string") -> Column:
         options = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in mine if c in have_p]
         options += [F.nullif(F.col(f"__i.{c}").cast("string"), F.lit("")) for c in theirs if c in have_i]
-        return (F.coalesce(*options) if options else F.lit(None)).cast(kind)
+        return (F.coalesce(*options) if options else F.lit(None)).try_cast(kind)
 
     return joined.select(
         "patch_id", *[pick([c], [c]).alias(c) for c in INDEX_FIELDS], pick([], ["npz_path"]).alias("npz_path"),
@@ -470,14 +470,14 @@ def _paths(rows: DataFrame, columns: list[str], order: str, out: str) -> DataFra
 
 def case_studies(
     selected: DataFrame, ablation: DataFrame, bands: DataFrame, features: DataFrame, occluded: DataFrame, cams: DataFrame,
-    order: str = "row_no", max_cases: int = 10,
+    order: str = "row_no", max_cases: int | None = 10,
 ) -> DataFrame:
-    """One explained row for each of the first ``max_cases`` selected samples.
+    """One explained row for each of the first ``max_cases`` selected samples, of all if None.
 
     The cases are fixed first and everything else is semi-joined to them before
     it is ranked.
     """
-    cases = selected.orderBy(order).limit(max(0, int(max_cases)))
+    cases = selected if max_cases is None else selected.orderBy(order).limit(max(0, int(max_cases)))
     ids = cases.select("patch_id").distinct()
 
     def of(df: DataFrame) -> DataFrame:
