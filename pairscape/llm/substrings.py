@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,129 +32,69 @@ CUT_EVERY = 8
 FILTER_BITS = 26
 
 _OUTER = ".,;:!?…\"'`()[]{}<>*#$%&|-–—«»„“”‚‘’"
-_SENTENCE_END = ".!?…"
-_WHITE = re.compile(r"\s")
-#: Characters of a text that are worked on together, up to the next white space.
-PIECE = 1 << 20
-#: Kinds of code points: 1 white space, 2 outer punctuation, 4 end of a sentence; none behind the table's end.
-_KINDS = np.array([chr(c).isspace() + 2 * (chr(c) in _OUTER) + 4 * (chr(c) in _SENTENCE_END) for c in range(0x3002)], np.uint8)
-_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
-
-
-_POWERS, _OTHER = _powers(_BASE, 4096), _powers(_OTHER_BASE, 4096)
-_PLACES: list[np.ndarray] = []
-
-
-def _places(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse for ``n`` characters or more."""
-    if not _PLACES or len(_PLACES[0]) < n:
-        size = 1 << max(PIECE.bit_length(), n.bit_length())
-        _PLACES[:] = _powers(_BASE, size), _powers(pow(_BASE, -1, 2**64), size)
-    return _PLACES
-
-
-def _pieces(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Place, code points and kinds of the pieces of a text; no word is cut."""
-    at = 0
-    while at < len(text):
-        white = _WHITE.search(text, at + PIECE)
-        end = white.end() if white else len(text)
-        codes = np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), "<u4")
-        yield at, codes, _KINDS[np.minimum(codes, len(_KINDS) - 1)]
-        at = end
-
-
-def _bounds(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First character of each word and the one behind it."""
-    edges = np.flatnonzero(np.diff(kinds & 1, prepend=np.uint8(1), append=np.uint8(1)))
-    return edges[::2], edges[1::2]
-
-
-def _joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
-@dataclass(frozen=True)
-class Units:
-    """Of each unit: text and number within it, words, code points (of the original text) where it starts and stops, two digests."""
-
-    text: np.ndarray
-    number: np.ndarray
-    words: np.ndarray
-    start: np.ndarray
-    stop: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
-
-    def first(self) -> np.ndarray:
-        """True at the first unit of each digest in a text."""
-        order = np.lexsort((self.a, self.text))
-        a, text = self.a[order], self.text[order]
-        out = np.ones(len(order), bool)
-        out[order[1:]] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
-        return out
-
-
-def units(texts: list[str | None]) -> Units:
-    """The units of some texts, in their order."""
-    texts = [t or "" for t in texts]
-    lower = [t.lower() for t in texts]  # has the same words, but may be longer
-    whole = "\n".join(lower)
-    starts, stops, hashes, cuts, lines = [], [], [], [], []
-    for at, codes, kinds in _pieces(whole):
-        first, behind = _bounds(kinds)
-        starts.append(first + at)
-        stops.append(behind + at)
-        lines.append(np.flatnonzero(codes == 10) + at)
-        # a word of outer punctuation alone stays as it is
-        inner = np.flatnonzero((kinds & 3) == 0)
-        before = np.zeros(len(kinds) + 1, np.int32)
-        np.cumsum((kinds & 3) == 0, out=before[1:])
-        i, j = before[first], before[behind]
-        some = i < j
-        a, b = first.copy(), behind.copy()
-        a[some], b[some] = inner[i[some]], inner[j[some] - 1] + 1
-        power, inverse = _places(len(codes) + 1)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
-        h = mixed(((sums[b] - sums[a]) * inverse[a]) ^ (b - a).astype(np.uint64) * np.uint64(_OTHER_BASE))
-        hashes.append(h)
-        cuts.append(((kinds[behind - 1] & 4) > 0) | ((h >> np.uint64(20)) % np.uint64(CUT_EVERY) == 0))
-    start, stop, h, last, line = _joined(starts), _joined(stops), _joined(hashes, np.uint64), _joined(cuts, bool), _joined(lines)
-    n = len(start)
+_SENTENCE_END = (".", "!", "?", "…")
+_WORD = re.compile(r"\S+")
+_POWERS = np.concatenate([[1], np.full(4095, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64)
+_OTHER = np.concatenate([[1], np.full(4095, 0xD6E8FEB86659FD93, np.uint64)]).astype(np.uint64)
+with np.errstate(over="ignore"):
+    _POWERS, _OTHER = np.cumprod(_POWERS), np.cumprod(_OTHER)
+
+
+class Marks(dict):
+    """Hashes of normalised words; the lowest bit is set where a unit ends after the word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest((word.strip(_OUTER) or word).lower().encode("utf-8", "surrogatepass"))
+        cut = word.endswith(_SENTENCE_END) or (h >> 20) % CUT_EVERY == 0
+        value = self[word] = h & ~1 | cut
+        return value
+
+
+def units(text: str | None, marks: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each unit and its two digests; a last entry of the first array is the number of words."""
+    words, ends = [], []
+    for line in (text or "").split("\n"):
+        words += line.split()
+        ends.append(len(words))
+    n = len(words)
     if not n:
-        none = np.zeros(0, np.int64)
-        return Units(none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    ends = np.searchsorted(start, line)
-    last[ends[ends > 0] - 1] = True
-    last[-1] = True
-    first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    words = np.diff(first, append=n)
-    place = (np.arange(n) - np.repeat(first, words)) % 4096
+        return np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(marks.__getitem__, words), np.uint64, n)
+    last = (h & np.uint64(1)).astype(bool)
+    last[np.array([e for e in ends if e], np.int64) - 1] = True
+    starts = np.concatenate([[0], np.flatnonzero(last) + 1])
+    first = starts[:-1]
+    at = np.arange(n) - np.repeat(first, np.diff(starts))
     h = mixed(h | np.uint64(1))
-    digests = [mixed(np.add.reduceat(h * p[place], first)) for p in (_POWERS, _OTHER)]
-    offset = np.cumsum([0, *(len(t) + 1 for t in lower[:-1])])
-    text = np.searchsorted(offset, start[first], "right") - 1
-    if any(len(t) != len(low) for t, low in zip(texts, lower, strict=True)):
-        offset = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        bounds = [(first_ + at, behind + at) for at, _, kinds in _pieces("\n".join(texts)) for first_, behind in [_bounds(kinds)]]
-        start, stop = (np.concatenate(p) for p in zip(*bounds, strict=True))
-    number = np.arange(len(first)) - np.searchsorted(text, text)
-    return Units(text, number, words, start[first] - offset[text], stop[first + words - 1] - offset[text], digests[0], digests[1] >> np.uint64(33))
+    a = mixed(np.add.reduceat(h * _POWERS[at % 4096], first))
+    b = mixed(np.add.reduceat(h * _OTHER[at % 4096], first))
+    return starts, a, b >> np.uint64(33)
+
+
+def _first_in_text(a: np.ndarray) -> np.ndarray:
+    """True at the first unit of each digest."""
+    out = np.zeros(len(a), bool)
+    out[np.unique(a, return_index=True)[1]] = True
+    return out
 
 
 def _repeated_units(docs: DataFrame) -> DataFrame:
     """(a, b, first_doc) of the units that documents of different ids hold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks()
         for batch, texts in text_batches(batches):
-            u = units(texts)
-            new = u.first()
-            yield pa.RecordBatch.from_arrays([pa.array(u.a[new].view(np.int64)), pa.array(u.b[new].astype(np.int32)), batch.column("doc_id").take(pa.array(u.text[new]))], ["a", "b", "doc_id"])
+            ids, parts = batch.column("doc_id"), []
+            for i, text in enumerate(texts):
+                _, a, b = units(text, marks)
+                if len(a):
+                    new = _first_in_text(a)
+                    parts.append((a[new], b[new], np.full(int(new.sum()), i, np.int64)))
+            if parts:
+                a, b, i = (np.concatenate(p) for p in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), ids.take(pa.array(i))], ["a", "b", "doc_id"])
 
     found = docs.select("doc_id", "text").where("doc_id is not null or text is not null").mapInArrow(rows, "a long, b int, doc_id long")
     # an absent id ranks behind all others
@@ -177,15 +117,27 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bits = shared(spark, key_bits(repeated, "a", FILTER_BITS))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks()
         for batch, texts in text_batches(batches):
-            u = units(texts)
-            again = ~u.first()
-            hit = np.flatnonzero(again | has_bit(bits.value, u.a, FILTER_BITS))
-            i = pa.array(u.text[hit])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(i), batch.column("text_hash").take(i), *map(pa.array, (u.number[hit], u.words[hit], u.start[hit], u.stop[hit], u.a[hit].view(np.int64), u.b[hit].astype(np.int32), again[hit]))],
-                ["doc_id", "text_hash", "unit", "n_words", "start", "stop", "a", "b", "again"],
-            )
+            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+            for i, text in enumerate(texts):
+                starts, a, b = units(text, marks)
+                if not len(a):
+                    continue
+                again = ~_first_in_text(a)
+                hit = np.flatnonzero(again | has_bit(bits.value, a, FILTER_BITS))
+                if len(hit):
+                    spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+                    first, last = starts[hit], starts[hit + 1] - 1
+                    for c, v in zip(cols, (np.full(len(hit), i), hit, last - first + 1, spans[first, 0], spans[last, 1], a[hit], b[hit], again[hit]), strict=True):
+                        c.append(v)
+            if cols[0]:
+                i, unit, words, start, stop, a, b, again = (np.concatenate(c) for c in cols)
+                i = pa.array(i)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(i), batch.column("text_hash").take(i), pa.array(unit), pa.array(words), pa.array(start), pa.array(stop), pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(again)],
+                    ["doc_id", "text_hash", "unit", "n_words", "start", "stop", "a", "b", "again"],
+                )
 
     kind = "doc_id long, text_hash long, unit long, n_words long, start long, stop long, a long, b int, again boolean"
     hits = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(rows, kind).distinct()
