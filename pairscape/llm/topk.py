@@ -31,11 +31,16 @@ BLOCK_SCORES = 1 << 21
 
 @dataclass(frozen=True)
 class Round:
-    """Queries of a chunk and, for each, the interval [low, low + BINS * width) that is counted."""
+    """Queries of a chunk and, for each, the interval [low, high) that is counted in bins of ``width``.
+
+    ``high`` is at most low + BINS * width, and less where the bins reach past the bin
+    that they refine: scores from there on are counted as lying above already.
+    """
 
     ids: np.ndarray
     vectors: np.ndarray
     low: np.ndarray
+    high: np.ndarray
     width: np.ndarray
 
 
@@ -98,7 +103,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         matrix = vectors_of(pa.array([v for _, v in got], pa.list_(pa.float64())), dims)
         low = -np.ceil(np.sqrt((matrix**2).sum(1)) * math.sqrt(facts.norm) + 1).astype(np.int64)
         span, above, taken = 1 - 2 * low, np.zeros(len(got), np.int64), np.zeros(len(got), bool)
-        r = Round(np.array([i for i, _ in got]), matrix, low, np.maximum(1, -(-span // BINS)))
+        width = np.maximum(1, -(-span // BINS))
+        r = Round(np.array([i for i, _ in got]), matrix, low, low + BINS * width, width)
         while not taken.all():
             held = shared(spark, r)
 
@@ -107,7 +113,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 n, table = len(r.ids), np.zeros(len(r.ids) * BINS, np.uint64)
                 for ids, scores in _blocks(batches, r):
                     bin_ = (scores - r.low) // r.width
-                    fits = (bin_ >= 0) & (bin_ < BINS) & (ids[:, None] != r.ids)
+                    fits = (scores >= r.low) & (scores < r.high) & (ids[:, None] != r.ids)
                     table += np.bincount((np.arange(n) * BINS + bin_)[fits], minlength=n * BINS).astype(np.uint64)
                 yield from packed_chunks(table)
 
@@ -122,10 +128,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             # a query without k candidates keeps them all
             done = ~enough.any(1) | (inside <= SLACK * k) | (r.width == 1)
             low = np.where(taken, r.low, new_low)
+            high = np.where(taken, r.high, np.minimum(r.high, new_low + r.width))
             above = np.where(taken, above, new_above)
             width = np.where(taken | done, r.width, np.maximum(1, -(-r.width // BINS)))
             taken |= done
-            r = Round(r.ids, r.vectors, low, width)
+            r = Round(r.ids, r.vectors, low, high, width)
         held = shared(spark, r)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
