@@ -4,16 +4,19 @@ A text is cut into lines, a line into units: after a word that ends a sentence a
 after words whose own hash says so (one in eight). Cuts depend on the words
 beside them alone, so a passage has the same units wherever it stands in a line.
 Units are normalised (case, white space and outer punctuation of words do not
-count) and hashed to 96 bits. Over all documents the unit with the smallest
-(doc_id, position) is kept; the others are repeats. Neighbouring repeats form a
-span, and spans of at least ``min_words`` words are removed, given by their
-code-point offsets in the original text.
+count) and hashed to 96 bits. Units of several documents, or of several places in
+one, only say where to look: there the sequences of ``min_words`` words or more that
+begin or end with such a unit are hashed as well. Over all documents a sequence is
+kept where (doc_id, position) is smallest; elsewhere it is a repeat. Overlapping and
+neighbouring repeats form a span, which is removed, given by its code-point offsets
+in the original text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,10 +37,7 @@ FILTER_BITS = 26
 _OUTER = ".,;:!?…\"'`()[]{}<>*#$%&|-–—«»„“”‚‘’"
 _SENTENCE_END = (".", "!", "?", "…")
 _WORD = re.compile(r"\S+")
-_POWERS = np.concatenate([[1], np.full(4095, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64)
-_OTHER = np.concatenate([[1], np.full(4095, 0xD6E8FEB86659FD93, np.uint64)]).astype(np.uint64)
-with np.errstate(over="ignore"):
-    _POWERS, _OTHER = np.cumprod(_POWERS), np.cumprod(_OTHER)
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 class Marks(dict):
@@ -52,25 +52,45 @@ class Marks(dict):
         return value
 
 
-def units(text: str | None, marks: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of each unit and its two digests; a last entry of the first array is the number of words."""
+@cache
+def _powers(base: int, size: int) -> np.ndarray:
+    """Powers 0 to size - 1 of an odd number, modulo 2**64."""
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def digests(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each stretch [first, stop) of word hashes, the same wherever the stretch stands."""
+    size, out = max(4096, 1 << len(h).bit_length()), []
+    for base in _BASES:
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(base, size)[: len(h)])])
+        out.append(mixed((upto[stop] - upto[first]) * _powers(pow(base, -1, 2**64), size)[first]))
+    return out[0], out[1] >> np.uint64(33)
+
+
+def units(text: str | None, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and the first word of each unit; a last entry of the second array is the number of words."""
     words, ends = [], []
     for line in (text or "").split("\n"):
         words += line.split()
         ends.append(len(words))
     n = len(words)
     if not n:
-        return np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     h = np.fromiter(map(marks.__getitem__, words), np.uint64, n)
     last = (h & np.uint64(1)).astype(bool)
     last[np.array([e for e in ends if e], np.int64) - 1] = True
-    starts = np.concatenate([[0], np.flatnonzero(last) + 1])
-    first = starts[:-1]
-    at = np.arange(n) - np.repeat(first, np.diff(starts))
-    h = mixed(h | np.uint64(1))
-    a = mixed(np.add.reduceat(h * _POWERS[at % 4096], first))
-    b = mixed(np.add.reduceat(h * _OTHER[at % 4096], first))
-    return starts, a, b >> np.uint64(33)
+    return mixed(h | np.uint64(1)), np.concatenate([[0], np.flatnonzero(last) + 1])
+
+
+def sequences(starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """[first, stop) of the sequences that begin or end with a unit and have ``min_words`` words, or the unit's if it is longer; by position."""
+    a, b, n = starts[:-1], starts[1:], int(starts[-1])
+    first, stop = np.concatenate([a, np.minimum(a, b - min_words)]), np.concatenate([np.maximum(b, a + min_words), b])
+    whole = (first >= 0) & (stop <= n)
+    both = np.unique(first[whole] * (n + 1) + stop[whole])
+    return both // (n + 1), both % (n + 1)
 
 
 def _first_in_text(a: np.ndarray) -> np.ndarray:
@@ -88,8 +108,9 @@ def _repeated_units(docs: DataFrame) -> DataFrame:
         for batch, texts in text_batches(batches):
             ids, parts = batch.column("doc_id"), []
             for i, text in enumerate(texts):
-                _, a, b = units(text, marks)
-                if len(a):
+                h, starts = units(text, marks)
+                if len(h):
+                    a, b = digests(h, starts[:-1], starts[1:])
                     new = _first_in_text(a)
                     parts.append((a[new], b[new], np.full(int(new.sum()), i, np.int64)))
             if parts:
@@ -109,7 +130,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the smallest document that keeps a part of the span (the document itself for
     a repeat within it). Documents rank by doc_id, null last; rows of one id (and
     all rows without one) rank alike and repeat each other only from position to
-    position. Null, empty and white texts have no units. No rows: no spans.
+    position. Every removed word is part of ``min_words`` words in a row, or of a
+    longer unit, that stand so in an earlier document, or earlier in the same one
+    and apart. Null, empty and white texts have no units. No rows: no spans.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -121,35 +144,45 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch, texts in text_batches(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(8)]
             for i, text in enumerate(texts):
-                starts, a, b = units(text, marks)
-                if not len(a):
+                h, starts = units(text, marks)
+                first, stop = sequences(starts, min_words)
+                if not len(first):
                     continue
-                again = ~_first_in_text(a)
-                hit = np.flatnonzero(again | has_bit(bits.value, a, FILTER_BITS))
+                a, b = digests(h, first, stop)
+                _, place, of = np.unique(a, return_index=True, return_inverse=True)
+                again = first >= stop[place[of]]
+                # the units that a sequence holds as a whole have to be repeated ones
+                known = np.concatenate([[0], np.cumsum(has_bit(bits.value, digests(h, starts[:-1], starts[1:])[0], FILTER_BITS))])
+                lo, hi = np.searchsorted(starts[:-1], first), np.searchsorted(starts[1:], stop, "right")
+                hit = np.flatnonzero(again | (known[hi] - known[lo] == hi - lo))
                 if len(hit):
                     spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-                    first, last = starts[hit], starts[hit + 1] - 1
-                    for c, v in zip(cols, (np.full(len(hit), i), hit, last - first + 1, spans[first, 0], spans[last, 1], a[hit], b[hit], again[hit]), strict=True):
+                    first, stop = first[hit], stop[hit]
+                    for c, v in zip(cols, (np.full(len(hit), i), first, stop, spans[first, 0], spans[stop - 1, 1], a[hit], b[hit], again[hit]), strict=True):
                         c.append(v)
             if cols[0]:
-                i, unit, words, start, stop, a, b, again = (np.concatenate(c) for c in cols)
+                i, first, stop, start, end, a, b, again = (np.concatenate(c) for c in cols)
                 i = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(i), batch.column("text_hash").take(i), pa.array(unit), pa.array(words), pa.array(start), pa.array(stop), pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(again)],
-                    ["doc_id", "text_hash", "unit", "n_words", "start", "stop", "a", "b", "again"],
+                    [batch.column("doc_id").take(i), batch.column("text_hash").take(i), pa.array(first), pa.array(stop), pa.array(start), pa.array(end), pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(again)],
+                    ["doc_id", "text_hash", "word", "word_stop", "start", "stop", "a", "b", "again"],
                 )
 
-    kind = "doc_id long, text_hash long, unit long, n_words long, start long, stop long, a long, b int, again boolean"
-    hits = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(rows, kind).distinct()
+    kind = "doc_id long, text_hash long, word long, word_stop long, start long, stop long, a long, b int, again boolean"
+    hits = stored(docs.where("text is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(rows, kind))
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    repeats = hits.join(repeated, ["a", "b"], "left").where(F.col("again") | (rank > F.col("first_doc")))
-    place = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
-    islands = repeats.withColumn("island", F.col("unit") - F.row_number().over(place))
+    firsts = hits.groupBy("a", "b").agg(F.min(rank).alias("first_doc"), F.max(rank).alias("last_doc")).where("first_doc <> last_doc")
+    repeats = hits.join(firsts, ["a", "b"], "left").where(F.col("again") | (rank > F.col("first_doc")))
+    repeats = repeats.select("doc_id", "text_hash", "word", "word_stop", "start", "stop", F.least("first_doc", rank).alias("first_doc")).distinct()
+    place = Window.partitionBy("doc_id", "text_hash").orderBy("word", "word_stop")
+    covered = F.max("word_stop").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    islands = repeats.withColumn("new", F.when(covered >= F.col("word"), 0).otherwise(1))
+    islands = islands.withColumn("island", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("doc_id", "text_hash", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.min(F.least("first_doc", rank)).alias("first_doc_id"),
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word_stop") - F.min("word")).alias("n_words"), F.min("first_doc").alias("first_doc_id"),
     )
     own = F.when(F.col("first_doc_id") < 2**63 - 1, F.col("first_doc_id"))
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "text_hash", "start", "stop", "n_words", own.alias("first_doc_id"))
+    return spans.select("doc_id", "text_hash", "start", "stop", "n_words", own.alias("first_doc_id"))
 
 
 def without_spans(text: str | None, starts, stops) -> str | None:
