@@ -10,15 +10,19 @@ important if its pages differ there:
   on the pages, to the base of their number.
 
 The larger of both is the importance; blocks at nodes below ``THRESHOLD`` are
-removed on every page of the host. Two kinds of branches are settled beforehand:
-code, navigation, forms and elements that a class, id or role names as an advert,
-notice, comment and the like have importance 0, paragraphs of an article or main
-element 1. Hosts with few pages say nothing about a node; it then stays.
+removed on every page of the host. So is a single text at an important node if 1
+less log(pages with the text) / log(pages of the host) is below it. Tags and names
+come first: code, navigation, forms and elements that a class, id or role names as
+an advert, notice, comment and the like have importance 0, but no name counts for
+an element that holds an article or main element. Paragraphs of an article or main
+element are judged text by text, and all stay if none would be left of a page, as on
+copies of one page. Hosts with few pages say nothing about a node; it then stays.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -73,25 +77,27 @@ def _marks(attrs: str) -> tuple[str, frozenset[str]]:
 
 
 class Page:
-    """Blocks of a page: (path, settled importance or None, text), and the child elements of each parent path."""
+    """Blocks of a page: (path, 0 if settled as noise, 1 for prose of an article, or None, text), and the child elements of each parent path."""
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, float | None, str]] = []
         self.children: dict[str, list[str]] = {}
-        # an element: tag, path, settled importance, inside an article
-        self.stack: list[tuple[str, str, float | None, bool]] = [("", "", None, False)]
+        # an element: tag, path, settled as noise by a tag, inside an article or main element, numbers of the noise names around it
+        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
         self.parts: list[str] = []
+        self.found: list[tuple[str, bool, tuple[int, ...], bool, str]] = []
+        self.names, self.void_names = 0, set()
         self._read(source or "")
         self._flush()
+        self.blocks: list[tuple[str, float | None, str]] = [
+            (path, 0.0 if by_tag or not self.void_names.issuperset(names) else 1.0 if prose else None, text) for path, by_tag, names, prose, text in self.found
+        ]
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
         self.parts = []
         if text:
-            tag, path, settled, inside = self.stack[-1]
-            if settled is None and inside and tag in _PROSE:
-                settled = 1.0
-            self.blocks.append((path, settled, text))
+            tag, path, by_tag, inside, names = self.stack[-1]
+            self.found.append((path, by_tag, names, inside and tag in _PROSE, text))
 
     def _close(self, tags: tuple[str, ...] | frozenset[str], until: frozenset[str] = frozenset()) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -111,12 +117,16 @@ class Page:
             self._close(_SIBLINGS[tag], _SCOPES - {"tr"} if tag == "tr" else _SCOPES)
         self._flush()
         sign, words = _marks(attrs) if attrs else ("", frozenset())
-        _, path, settled, inside = self.stack[-1]
+        _, path, by_tag, inside, names = self.stack[-1]
         self.children.setdefault(path, []).append(tag + sign)
+        if tag in _MAIN:
+            self.void_names.update(names)
         in_article = inside or tag in _MAIN
-        if settled is None and (tag in _NEVER or ((tag == "header" or "header" in words) and not in_article) or (words & _NOISE and tag not in ("html", "body") and tag not in _MAIN)):
-            settled = 0.0
-        self.stack.append((tag, f"{path}>{tag}{sign}", settled, in_article))
+        by_tag = by_tag or tag in _NEVER or (tag == "header" and not in_article)
+        if (words & _NOISE or ("header" in words and not in_article)) and tag not in ("html", "body") and tag not in _MAIN:
+            self.names += 1
+            names = (*names, self.names)
+        self.stack.append((tag, f"{path}>{tag}{sign}", by_tag, in_article, names))
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -150,8 +160,13 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def text_key(path: str, text: str) -> str:
+    """A text at a node; paths have no line feeds."""
+    return f"{path}\n{xxhash.xxh3_64_intdigest(text) - 2**63}"
+
+
 def unimportant_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path) of the nodes of each site style tree below the threshold."""
+    """(host, path) of the nodes of each site style tree below the threshold, and of single texts below it as ``text_key``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +175,10 @@ def unimportant_nodes(pages: DataFrame) -> DataFrame:
                 cols: list[list] = [[], [], [], []]
                 for i in range(a, b):
                     page = Page(sources[i])
-                    seen = {(path, 1, xxhash.xxh3_64_intdigest(text) - 2**63) for path, settled, text in page.blocks if settled is None}
-                    paths = {path for path, _, _ in seen}
+                    seen = {(path, 1 if settled is None else 3, xxhash.xxh3_64_intdigest(text) - 2**63) for path, settled, text in page.blocks if settled != 0}
+                    paths = {path for path, kind, _ in seen if kind == 1}
+                    if seen:
+                        seen.add(("", 4, 0))
                     for path in paths:
                         parent = path.rsplit(">", 1)[0]
                         style = xxhash.xxh3_64_intdigest(" ".join(page.children.get(parent, ()))) - 2**63
@@ -173,15 +190,20 @@ def unimportant_nodes(pages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["host", "path", "kind", "feature"])
 
     found = pages.select("host", "html").mapInArrow(rows, "host string, path string, kind int, feature long")
-    counts = found.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("pages"))
-    # kind 0 has the number of pages, 1 the texts, 2 the styles of the parent
+    counts = stored(found.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("pages")))
+    # kind 0 has the number of pages, 1 the texts, 2 the styles of the parent, 3 the texts of an article's prose, 4 the pages of the host
     n, log = F.sum(F.when(F.col("kind") == 0, F.col("pages"))), F.log(F.col("pages").cast("double"))
-    nodes = counts.groupBy("host", "path").agg(
+    nodes = counts.where("kind < 3").groupBy("host", "path").agg(
         n.alias("n"), F.avg(F.when(F.col("kind") == 1, log)).alias("same"), F.sum(F.when(F.col("kind") == 2, F.col("pages") * log)).alias("styles"),
     )
     content = 1 - F.col("same") / F.log("n")
     presentation = 1 - F.col("styles") / (F.col("n") * F.log("n"))
-    return nodes.where(F.col("n") >= LEAST_PAGES).where(F.greatest(content, presentation) < THRESHOLD).select("host", "path")
+    low = nodes.where(F.col("n") >= LEAST_PAGES).where(F.greatest(content, presentation) < THRESHOLD).select("host", "path")
+    sites = counts.where(f"kind = 4 and pages >= {LEAST_PAGES}").select("host", F.col("pages").alias("all"))
+    # a text on fewer pages is important on every host that is large enough
+    often = counts.where(F.col("kind").isin(1, 3) & (log > (1 - THRESHOLD) * math.log(LEAST_PAGES)))
+    texts = often.join(sites, "host").where(1 - log / F.log(F.col("all").cast("double")) < THRESHOLD)
+    return low.unionByName(texts.select("host", F.concat_ws("\n", "path", F.col("feature").cast("string")).alias("path")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -201,7 +223,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             out = []
             for source, gone in zip(sources, noises, strict=True):
                 gone = set(gone) if gone is not None else ()
-                out.append("\n\n".join(text for path, settled, text in Page(source).blocks if settled == 1 or (settled is None and path not in gone)))
+                blocks = [x for x in Page(source).blocks if x[1] != 0]
+                kept = [(settled == 1 or path not in gone) and text_key(path, text) not in gone for path, settled, text in blocks]
+                prose = any(keep and x[1] == 1 for keep, x in zip(kept, blocks, strict=True))
+                out.append("\n\n".join(x[2] for keep, x in zip(kept, blocks, strict=True) if keep or (x[1] == 1 and not prose)))
             yield pd.Series(out, dtype=object)
 
     return joined.select("page_id", "url", F.pandas_udf(extract, "string", F.PandasUDFType.SCALAR_ITER)("html", "noise").alias("text"))
