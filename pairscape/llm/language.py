@@ -9,6 +9,7 @@ presence times landmarks, times the Nystroem map and the ridge weights.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
 from .common import crc_mod, shared
 
-#: Longest n-gram, slots of hashed n-grams, n-grams that the kernel counts, landmarks, ridge.
-GRAMS, SLOTS, FEATURES, LANDMARKS, RIDGE = 4, 1 << 18, 8192, 160, 1e-2
-#: Texts of each language that are learned from, and languages at most (the most frequent ones).
-SAMPLE, LANGUAGES = 200, 100
-#: Texts in a matrix product.
-ROWS = 64
+#: Longest n-gram, slots of hashed n-grams, n-grams that the kernel counts, landmarks (of each language at least), ridge.
+GRAMS, SLOTS, FEATURES, LANDMARKS, LEAST_LANDMARKS, RIDGE = 4, 1 << 18, 8192, 160, 8, 1e-2
+#: Texts of each language that are learned from.
+SAMPLE = 200
+#: Texts in a matrix product, and in one of the training.
+ROWS, BLOCK = 64, 2048
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -47,7 +49,7 @@ def gram_slots(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Feature of each slot (-1: none), landmark presence over their norms, and landmark weights by language; about 6 MB."""
+    """Feature of each slot (-1: none), landmark presence over their norms, and landmark weights by language; about 6 MB up to 20 languages, 0.3 MB for each beyond."""
 
     languages: tuple[str, ...]
     feature: np.ndarray
@@ -71,13 +73,13 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 def fit_language(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """A model from ``labelled`` (key, lang, text): the ``sample`` rows of each language with the smallest key hash.
 
-    Rows without key, language or text are left out; None if no row is left. The
-    driver gets the n-gram slots of the sample, 32 KB a text at most.
+    Rows without key, language or text are left out; None if no row is left. All
+    languages are learned. The driver reads the n-gram slots of the sample language by
+    language, 32 KB a text at most, and keeps 1 KB a text.
     """
     rows = labelled.where("key is not null and lang is not null and text is not null")
-    top = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    ids = rows.where(F.col("lang").isin(top)).select("key", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    ids = rows.select("key", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     taken = rows.select("key", "text").join(F.broadcast(ids.select("key", "lang").dropDuplicates(["key"])), "key").select("lang", "text", F.xxhash64("key").alias("order"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,29 +91,43 @@ def fit_language(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | N
                 bits.append(np.packbits(there).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(bits, pa.binary())], ["lang", "order", "bits"])
 
-    got = sorted(taken.mapInArrow(slots, "lang string, order long, bits binary").collect(), key=lambda r: (r.order, r.lang))
-    if not got:
-        return None
-    languages = tuple(sorted({r.lang for r in got}))
-    label = np.array([languages.index(r.lang) for r in got])
-    bits = np.stack([np.frombuffer(r.bits, np.uint8) for r in got])
+    texts = stored(taken.mapInArrow(slots, "lang string, order long, bits binary"))
+
+    def by_language() -> Iterator[tuple[str, np.ndarray]]:
+        for lang, got in itertools.groupby(texts.orderBy("lang", "order").toLocalIterator(), lambda r: r.lang):
+            yield lang, np.stack([np.frombuffer(r.bits, np.uint8) for r in got])
+
     # the n-grams whose presence differs most between a language and the rest
-    share = np.stack([np.unpackbits(bits[label == c], axis=1).mean(0, dtype=np.float32) for c in range(len(languages))])
-    spread = share.max(0) - share.min(0) if len(languages) > 1 else share[0]
+    most, least, languages, sizes = np.zeros(SLOTS, np.float32), np.ones(SLOTS, np.float32), [], []
+    for lang, bits in by_language():
+        share = np.unpackbits(bits, axis=1).mean(0, dtype=np.float32)
+        most, least = np.maximum(most, share), np.minimum(least, share)
+        languages.append(lang)
+        sizes.append(len(bits))
+    if not languages:
+        return None
+    spread = most - least if len(languages) > 1 else most
     chosen = np.argsort(-spread, kind="stable")[:FEATURES]
     feature = np.full(SLOTS, -1, np.int32)
     feature[chosen] = np.arange(len(chosen))
-    x = np.stack([np.unpackbits(b)[chosen] for b in bits]).astype(np.float32)
-    pick = np.concatenate([np.flatnonzero(label == c)[: max(1, LANDMARKS // len(languages))] for c in range(len(languages))])
-    landmarks = x[pick] / np.sqrt(np.maximum(1, x[pick].sum(1, keepdims=True)))
-    value, vector = np.linalg.eigh(kernel(x[pick], landmarks).astype(np.float64))
+    label = np.repeat(np.arange(len(languages)), sizes)
+    packed = np.concatenate([np.packbits(np.unpackbits(row)[chosen])[None] for _, bits in by_language() for row in bits])
+    each = max(LEAST_LANDMARKS, LANDMARKS // len(languages))
+    pick = np.concatenate([np.flatnonzero(label == c)[:each] for c in range(len(languages))])
+    x = np.unpackbits(packed[pick], axis=1).astype(np.float32)
+    landmarks = x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+    value, vector = np.linalg.eigh(kernel(x, landmarks).astype(np.float64))
     keep = value > 1e-6 * value.max()
     nystroem = vector[:, keep] / np.sqrt(value[keep])
-    phi = kernel(x, landmarks) @ nystroem
-    weight = 1 / np.bincount(label, minlength=len(languages))[label]
-    target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    beta = np.linalg.solve((phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1]) / 10, (phi * weight[:, None]).T @ target)
-    return LanguageModel(languages, feature, landmarks.astype(np.float32), (nystroem @ beta).astype(np.float32))
+    inner, outer = RIDGE * np.eye(nystroem.shape[1]) / 10, np.zeros((nystroem.shape[1], len(languages)))
+    for a in range(0, len(packed), BLOCK):
+        phi = kernel(np.unpackbits(packed[a : a + BLOCK], axis=1).astype(np.float32), landmarks) @ nystroem
+        part = label[a : a + BLOCK]
+        weighted = (phi / np.array(sizes)[part][:, None]).T
+        inner += weighted @ phi
+        outer += weighted @ np.where(part[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    beta = np.linalg.solve(inner, outer)
+    return LanguageModel(tuple(languages), feature, landmarks.astype(np.float32), (nystroem @ beta).astype(np.float32))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
