@@ -15,6 +15,7 @@ stretch of it is within ``tolerance * words of the item`` word edits.
   keys of all walks are candidates; the number of keys follows from the recall
   wanted at the assumed share of agreeing places.
 * Each candidate is decided by its exact edit distance to the best stretch nearby.
+* Items under 8 words are found where they stand word for word.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shared, text_batches
+from .common import mixed, shared, text_batches, windows
 from .substrings import _OUTER
 
 TOLERANCE = 0.2
@@ -73,11 +74,17 @@ class ItemIndex:
         self.tolerance = tolerance
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
+        #: items under LEAST_WORDS by number of words and key
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for item_id, text in items:
             words = item_words(text)
             if len(words) >= LEAST_WORDS:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
                 self.items.append((item_id, np.array(ids, np.int64)))
+            elif words:
+                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
+                key = int(self.word_keys(ids, len(ids))[0])
+                self.short.setdefault(len(ids), {}).setdefault(key, []).append((item_id, ids))
         self.classes: list[LengthClass] = []
         self.pairs = np.zeros(PAIR_SLOTS, np.uint64)
         order = sorted(range(len(self.items)), key=lambda i: len(self.items[i][1]))
@@ -124,6 +131,26 @@ class ItemIndex:
         h = mixed(words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[1:].astype(np.uint64))
         return (h & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
 
+    @staticmethod
+    def word_keys(words: np.ndarray, n: int) -> np.ndarray:
+        """A key of every ``n`` words in a row."""
+        return windows(mixed(words.astype(np.uint64)), n)
+
+    def exact(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each text of ``words``, as ``matches`` gives them."""
+        for n, table in self.short.items():
+            if len(words) < n:
+                continue
+            keys, found = np.array(sorted(table), np.uint64), self.word_keys(words, n)
+            at = np.flatnonzero(np.isin(found, keys))
+            text = np.searchsorted(ends, at, "right")
+            _, first = np.unique(text * len(keys) + np.searchsorted(keys, found[at]), return_index=True)
+            for s, t in zip(at[first].tolist(), text[first].tolist(), strict=True):
+                a = s - (int(ends[t - 1]) if t else 0)
+                for item_id, item in table[int(found[s])]:
+                    if np.array_equal(words[s : s + n], item):
+                        yield t, item_id, a, a + n, 0
+
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(item, start) where a window of ``words`` (vocabulary ids, 0 for other words) shares a key with an item."""
         if len(words) < 2:
@@ -148,10 +175,11 @@ class ItemIndex:
         ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
         gap = np.zeros(1, np.int64)
         near = defaultdict(list)
-        for i, s in self.candidates(np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap):
+        flat = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+        for i, s in self.candidates(flat):
             t = int(np.searchsorted(ends, s, "right"))
             near[t, i].append(s - int(ends[t]) + len(texts[t]) + 1)
-        out = []
+        out = list(self.exact(flat, ends))
         for (t, i), starts in near.items():
             words, (item_id, item) = texts[t], self.items[i]
             most, best = int(self.tolerance * len(item)), None
@@ -205,8 +233,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOL
     """Where documents hold benchmark items: doc_id, item_id, start, stop, n_words, distance.
 
     One row for each row of ``docs`` and item: the nearest stretch, the first at
-    ties, in code points of the text. Items with fewer than 8 words, null ones
-    and null or empty texts take no part; repeated items and rows are reported
+    ties, in code points of the text. Items with fewer than 8 words are
+    found word for word only; null and empty ones and texts take no part; repeated items and rows are reported
     each. Empty tables give no rows.
     """
     spark = docs.sparkSession
