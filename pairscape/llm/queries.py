@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, mixing, quality, sitetree, substrings, tokenfiles, topk
+from . import bpe, decontaminate, jaccard, language, lexical, mixing, quality, ring, runs, sitetree, substrings, tokenfiles, topk
+from .oracles import LEXICAL_SQL, RING_SQL
 from .common import crc_mod
 
 
@@ -70,6 +71,25 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score_documents(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.ring_shards(table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=runs.planted)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +98,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_exact_topk, op3_quality_classifier, op4_bpe_roundtrip, op5_language_id, op6_main_text, op7_decontamination, op8_jaccard_join, op9_token_files, op10_context_mixing, pipeline)
+    for f in (op1_substring_dedup, op2_exact_topk, op3_quality_classifier, op4_bpe_roundtrip, op5_language_id, op6_main_text, op7_decontamination, op8_jaccard_join, op9_token_files, op10_context_mixing,
+              op11_ring_sharding, op12_periodic_runs, op13_lexical_search, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op11_ring_sharding": RING_SQL,
+    "op13_lexical_search": LEXICAL_SQL,
 }
