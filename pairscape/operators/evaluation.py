@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as num
 from ..functions.text import patch_xy
-from .ranking import exact_quantiles
+from .ranking import beside, exact_quantiles
 
 # Grouping dimensions and metric names with their fallback keys.
 GROUP_DIMENSIONS = ("split", "district", "change_class", "pair_type", "time_gap_group")
@@ -224,7 +224,7 @@ def error_comparison(pred: DataFrame, dims=ERROR_DIMENSIONS, experiment: str = "
         F.avg("y_pred_change_ratio").alias("mean_pred_change_ratio"),
     )
     medians = exact_quantiles(long, keys, "abs_error", {"median_abs_error": 0.5})
-    out = stats.join(medians, keys, "left")
+    out = beside(stats, medians, keys)
     return out.withColumn("value", F.when(~F.col("__null"), F.col("value"))).drop("__null")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import functions as fn
 from ..session import cut_lineage
-from .ranking import exact_quantiles, first_by_key, last_by_key, top_k
+from .ranking import beside, exact_quantiles, first_by_key, last_by_key, top_k
 
 # Ablation variants, contribution columns, stage values and texts.
 VARIANTS = ("full", "no_tabular", "no_image", "no_t1", "no_t2", "same_time", "swapped_time")
@@ -244,7 +244,7 @@ def importance_summary(rows: DataFrame, keys: list[str], value: str = "importanc
         F.count(F.lit(1)).alias("sample_count"), F.avg("v").alias("mean_importance"), F.max("v").alias("max_importance")
     )
     medians = exact_quantiles(clean, keys, "v", {"median_importance": 0.5})
-    return stats.join(medians, keys).orderBy(F.desc("mean_importance"), *keys)
+    return beside(stats, medians, keys).orderBy(F.desc("mean_importance"), *keys)
 
 
 def importance_by_group(summary: DataFrame, group: str = "feature_group") -> DataFrame:

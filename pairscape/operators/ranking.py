@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numbers import hash_key
+from ..functions.numbers import hash_key, not_nan
 from ..functions.text import as_col
+from ..session import cut_lineage, stored
 
 HASH_PREFIX = 2  # hex digits: 256 sub-buckets per group for hash orders
 
@@ -137,92 +138,182 @@ def even_sample(
     return picked.drop("__h", "__pos", "__size")
 
 
+#: Rows of a part of the order in ``slice_rows``, about.
+PART_ROWS = 1 << 20
+
+
 def slice_rows(
     df: DataFrame, order: str, start: int = 0, end: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Rows ``start`` … ``end`` − 1 of the order by one unique column, at most ``limit``.
+    """Rows ``start`` … ``end`` − 1 of the order by one unique column of any type, at most ``limit``.
 
-    The column's hash cannot be used here because the order is the caller's, so
-    sub-buckets come from approximate quantiles of the order column.
+    The rows are divided into ranges of the column, by its own type, so text,
+    times and numbers work alike; nulls come first. The sizes of the ranges say
+    where each begins, and only ranges that the slice touches are numbered, each
+    by its own task.
     """
     stop = min([x for x in (end, None if limit is None else start + limit) if x is not None], default=None)
     if start == 0 and stop is not None:
         return df.orderBy(order).limit(stop)
-    cuts = [i / 256 for i in range(1, 256)]
-    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), cuts, 2000).alias("e")).scalar()
-    bucket = F.size(F.filter("__edges", lambda e: e <= F.col(order).cast("double")))
-    marked = df.withColumns({"__all": F.lit(1), "__edges": edges})
-    bucketed = marked.withColumn("__bucket", bucket).drop("__edges")
-    ranked = positions(bucketed, ["__all"], [order], ["__bucket"], "__pos")
-    kept = ranked.filter(F.col("__pos") >= start)
+    if start == 0:
+        return df
+    parts = max(1, -(-df.count() // PART_ROWS))
+    ranged = stored(df.repartitionByRange(max(parts, 2), order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    begins, at = {}, 0
+    for part in sorted(sizes):
+        if at + sizes[part] > start and (stop is None or at < stop):
+            begins[part] = at
+        at += sizes[part]
+    if not begins:
+        return df.limit(0)
+    touched = ranged.filter(F.col("__part").isin(*begins))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + fn_map(begins, "__part")
+    kept = touched.withColumn("__pos", place).filter(F.col("__pos") >= start)
     if stop is not None:
         kept = kept.filter(F.col("__pos") < stop)
-    return kept.drop("__all", "__bucket", "__pos")
+    return kept.drop("__part", "__pos")
 
 
-def exact_quantiles(
-    df: DataFrame, group: list[str], value: str, probs: dict[str, float], margin: float = 0.0005
-) -> DataFrame:
+def fn_map(values: dict[int, int], column: str) -> Column:
+    """The entry of a small map for the value of ``column``."""
+    pairs = [F.lit(x) for k, v in values.items() for x in (k, v)]
+    return F.element_at(F.create_map(*pairs), F.col(column))
+
+
+#: Quantiles are refined on a grid of so many steps, by a sketch of this accuracy.
+GRID, ACCURACY = 512, 10_000
+#: Values strictly inside a bracket that are listed instead of refined, and groups whose brackets are a broadcast.
+LISTED, BROADCAST_GROUPS = 8192, 10_000
+
+
+def _sure(n: Column) -> Column:
+    """At most so many of ``n`` values lie strictly between a grid edge and the third one behind it."""
+    return n * (3 / GRID + 2 / ACCURACY) <= LISTED
+
+
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, one column per entry of ``probs``.
 
     ``percentile`` and ``median`` gather all distinct values of a group in one
-    task. Here a mergeable sketch first brackets each wanted rank; one pass
-    counts the rows below the bracket, and only rows inside it are sorted. The
-    bracket is five times wider than the sketch's error bound, groups of a few
-    thousand rows are sorted whole, and a rank that still fell outside would
-    raise instead of giving a wrong number.
+    task. Here each pass sends mergeable sketches only: their grid of equally
+    spaced ranks brackets the wanted rank to 3 of 512 parts, and the next pass
+    counts what lies below and on the bracket and refines what lies inside, until
+    at most ``LISTED`` values can be inside, which are listed. Counts are exact,
+    so a rank that a sketch placed wrongly is sought on the other side of the
+    bracket. Three passes do up to 10^8 rows a group, one more each factor 170.
+
+    Rows meet their group's brackets in a broadcast if at most
+    ``BROADCAST_GROUPS`` groups were counted, else in a join. ``df`` is read
+    once a pass. Null and NaN values do not count; a group without values gives
+    no row (null quantiles without ``group``).
     """
-    names, wanted = list(probs), list(probs.values())
-    accuracy = max(1, int(round(5 / margin)))
-    small = int(4 / margin)  # below this size a bracket could miss a neighbouring rank
-    v = df.select(*group, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    ends = [q for p in wanted for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = v.groupBy(*group).agg(
-        F.percentile_approx("__v", ends, accuracy).alias("__e"), F.count(F.lit(1)).alias("__size")
+    names, wanted = list(probs), [float(p) for p in probs.values()]
+    v = df.select(*(group or [F.lit(1).alias("__all")]), not_nan(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    keys = group or ["__all"]
+    numbered = {g: f"__g{i}" for i, g in enumerate(keys)}
+    grid = [i / GRID for i in range(GRID + 1)]
+    lowest, highest = F.lit(float("-inf")), F.lit(float("inf"))
+
+    def bracket(edges: Column, rank: Column, n: Column) -> tuple[Column, Column]:
+        """The grid edges around a rank among ``n`` values and its successor."""
+        at = F.floor(rank / F.greatest(n - 1, F.lit(1)) * GRID).cast("int")
+        low = F.when(at >= 1, F.get(edges, at - 1))
+        high = F.when(at + 2 <= GRID, F.get(edges, at + 2))
+        return F.coalesce(low, lowest), F.coalesce(high, highest)
+
+    first = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"), F.percentile_approx("__v", grid, ACCURACY).alias("__e"))
+    begun = {"__sure": _sure(F.col("__size"))}
+    for k, p in enumerate(wanted):
+        rank = F.lit(p) * (F.col("__size") - 1)
+        low, high = bracket(F.col("__e"), F.floor(rank), F.col("__size"))
+        begun |= {f"__at{k}": rank, f"__lo{k}": low, f"__hi{k}": high, f"__small{k}": F.col("__sure"),
+                  f"__x{k}": F.lit(None).cast("double"), f"__y{k}": F.lit(None).cast("double")}
+    state = first.withColumn("__sure", begun.pop("__sure")).withColumns(begun).drop("__e", "__sure")
+    state = cut_lineage(state.withColumnsRenamed(numbered))
+    while True:
+        facts = state.agg(
+            F.count(F.lit(1)).alias("groups"),
+            *[F.count_if(F.col(f"__x{k}").isNull()).alias(f"open{k}") for k in range(len(names))],
+            *[F.count_if(F.col(f"__x{k}").isNull() & ~F.col(f"__small{k}")).alias(f"large{k}") for k in range(len(names))],
+        ).first()
+        seeking = [k for k in range(len(names)) if facts[f"open{k}"]]
+        if not seeking:
+            break
+        few = facts["groups"] <= BROADCAST_GROUPS
+        state = cut_lineage(_refined(v, keys, numbered, state, seeking, [facts[f"large{k}"] > 0 for k in range(len(names))], few, grid, bracket))
+    share = {k: F.col(f"__at{k}") - F.floor(f"__at{k}") for k in range(len(names))}
+    found = state.select(
+        *[F.col(numbered[g]).alias(g) for g in keys],
+        *[(F.col(f"__x{k}") + F.when(share[k] > 0, (F.col(f"__y{k}") - F.col(f"__x{k}")) * share[k]).otherwise(0.0)).alias(n) for k, n in enumerate(names)],
     )
     if group:
-        near = v.join(sketch, group)
-    else:
-        both = sketch.select(F.struct("__e", "__size").alias("s")).scalar()
-        near = v.withColumn("__e", both["__e"]).withColumn("__size", both["__size"])
-
-    # one row per (row, wanted rank) that is inside the bracket; below-counts beside it
-    marks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.when(F.col("__size") <= small, 1)
-                 .when(F.col("__v") < F.get("__e", F.lit(2 * i)), 0)
-                 .when(F.col("__v") <= F.get("__e", F.lit(2 * i + 1)), 1).otherwise(2).alias("zone"))
-        for i in range(len(names))
-    ])
-    long = (
-        near.select(*group, "__v", "__size", F.explode(marks).alias("m"))
-        .filter("m.zone < 2")
-        # rows below the bracket only matter as a count
-        .select(*group, F.col("m.i").alias("__i"), "__size",
-                F.when(F.col("m.zone") == 1, F.col("__v")).alias("__v"))
-        .groupBy(*group, "__i", "__v").agg(F.count(F.lit(1)).alias("__n"), F.first("__size").alias("__size"))
-    )
-    run = Window.partitionBy(*group, "__i").orderBy(F.col("__v").asc_nulls_first())
-    upto = F.sum("__n").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    prob = F.get(F.array(*[F.lit(float(p)) for p in wanted]), F.col("__i"))
-    at = prob * (F.col("__size") - 1)
-    steps = (
-        long.withColumns({"__upto": upto, "__at": at})
-        .filter(F.col("__v").isNotNull())
-        .withColumns({
-            "__low": (F.col("__upto") > F.floor("__at")) & (F.col("__upto") - F.col("__n") <= F.floor("__at")),
-            "__high": (F.col("__upto") > F.ceil("__at")) & (F.col("__upto") - F.col("__n") <= F.ceil("__at")),
-        })
-    )
-    found = steps.groupBy(*group, "__i").agg(
-        F.max(F.when(F.col("__low"), F.col("__v"))).alias("__lo"),
-        F.max(F.when(F.col("__high"), F.col("__v"))).alias("__hi"),
-        F.first("__at").alias("__at"),
-    )
-    share = F.col("__at") - F.floor("__at")
-    exact = F.when(
-        F.col("__lo").isNull() | F.col("__hi").isNull(), F.raise_error(F.lit("quantile bracket missed")).cast("double")
-    ).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * share)
-    valued = found.withColumn("__q", exact)
-    return valued.groupBy(*group).agg(
-        *[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(n) for i, n in enumerate(names)]
+        return found
+    one = df.sparkSession.range(1).select(F.lit(1).alias("__all"))
+    return one.join(F.broadcast(found), "__all", "left").drop("__all")
+
+
+def _refined(v, keys, numbered, state, seeking, large, few, grid, bracket) -> DataFrame:
+    """One pass: exact counts around every bracket, then the values of the wanted rank and its successor, or a closer bracket."""
+    side = F.broadcast(state) if few else state
+    same = None
+    for g in keys:
+        hit = v[g].eqNullSafe(side[numbered[g]])
+        same = hit if same is None else same & hit
+    met = v.join(side, same)
+    x = F.col("__v")
+    aggs = []
+    for k in seeking:
+        lo, hi = F.col(f"__lo{k}"), F.col(f"__hi{k}")
+        open_ = F.col(f"__x{k}").isNull()
+        inside = open_ & (x > lo) & (x < hi)
+        aggs += [
+            F.count_if(open_ & (x < lo)).alias("below"), F.count_if(open_ & (x == lo)).alias("on_low"), F.count_if(inside).alias("inside"),
+            F.count_if(open_ & (x == hi) & (hi > lo)).alias("on_high"), F.min(F.when(open_ & (x > hi), x)).alias("next"),
+            F.array_sort(F.collect_list(F.when(inside & F.col(f"__small{k}"), x))).alias("list"),
+            (F.percentile_approx(F.when(inside & ~F.col(f"__small{k}"), x), grid, ACCURACY) if large[k] else F.lit(None).cast("array<double>")).alias("edges"),
+        ]
+    names = [numbered[g] for g in keys]
+    labels = [f"__{n}{k}" for k in seeking for n in ("below", "on_low", "inside", "on_high", "next", "list", "edges")]
+    counted = met.groupBy(*names).agg(*[a.alias(label) for a, label in zip(aggs, labels, strict=True)])
+    merged = beside(state, counted, names)
+    out = {}
+    for k in seeking:
+        lo, hi, at = (F.col(f"__{n}{k}") for n in ("lo", "hi", "at"))
+        below, on_low, inside, on_high, above, listed, edges = (F.col(f"__{n}{k}") for n in ("below", "on_low", "inside", "on_high", "next", "list", "edges"))
+        small = F.col(f"__small{k}")
+
+        def pick(rank: Column, lo=lo, hi=hi, below=below, on_low=on_low, inside=inside, on_high=on_high, above=above, listed=listed, small=small) -> Column:
+            r = rank - below
+            return (
+                F.when(r < 0, F.lit(None)).when(r < on_low, lo)
+                .when(r < on_low + inside, F.when(small, F.get(listed, (r - on_low).cast("int"))))
+                .when(r < on_low + inside + on_high, hi).when(r == on_low + inside + on_high, above)
+            )
+
+        low_rank = F.floor(at)
+        r = low_rank - below
+        closer_lo, closer_hi = bracket(edges, r - on_low, inside)
+        new_lo = F.when(r < 0, float("-inf")).when(r < on_low + inside, F.greatest(closer_lo, lo)).otherwise(hi)
+        new_hi = F.when(r < 0, lo).when(r < on_low + inside, F.least(closer_hi, hi)).otherwise(float("inf"))
+        a, b = pick(low_rank), pick(F.ceil(at))
+        both = a.isNotNull() & b.isNotNull()
+        todo = F.col(f"__x{k}").isNull()
+        near = (r >= on_low) & (r < on_low + inside) & ~small
+        out |= {
+            f"__x{k}": F.when(todo, F.when(both, a)).otherwise(F.col(f"__x{k}")),
+            f"__y{k}": F.when(todo, F.when(both, b)).otherwise(F.col(f"__y{k}")),
+            f"__lo{k}": F.when(todo, new_lo).otherwise(lo), f"__hi{k}": F.when(todo, new_hi).otherwise(hi),
+            f"__small{k}": near & _sure(inside),
+        }
+    return merged.withColumns(out).select(*state.columns)
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join of two tables with one row a key each, as one grouping: equal keys, nulls too, are laid together."""
+    rest = {side: [c for c in df.columns if c not in keys] for side, df in (("__l", left), ("__r", right))}
+    parts = [df.select(*keys, F.struct(*rest[side]).alias(side)) for side, df in (("__l", left), ("__r", right))]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True).groupBy(*keys).agg(
+        *[F.any_value(side, True).alias(side) for side in rest]
     )
+    return both.filter(F.col("__l").isNotNull()).select(*keys, "__l.*", "__r.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import functions as fn
-from .ranking import exact_quantiles, last_by_key
+from .ranking import beside, exact_quantiles, last_by_key
 
 # Pair columns that are not model features.
 PAIR_METADATA = (
@@ -227,7 +227,7 @@ def train_stats(df: DataFrame, cols: list[str] | None = None, split: str = "spli
         F.count(F.lit(1)).alias("n"), F.count("value").alias("k"),
         F.avg("value").alias("m"), F.var_pop("value").alias("v"),
     )
-    both = moments.join(medians, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    both = beside(moments, medians, ["feature"]).withColumn("median", F.coalesce("median", F.lit(0.0)))
     share = F.col("k") / F.col("n")
     known_mean, known_var = F.coalesce("m", F.lit(0.0)), F.coalesce("v", F.lit(0.0))
     mean = known_mean * share + F.col("median") * (1 - share)

@@ -46,18 +46,42 @@ def test_even_sample(spark, m, crowded):
     assert got == want
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 1000, 60000])
+def check_quantiles(spark, rows, probs):
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in rk.exact_quantiles(df, ["g"], "v", probs).collect()}
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert np.allclose([got[g][n] for n in probs], np.quantile(values, list(probs.values())), rtol=1e-12)
+
+
+@pytest.mark.parametrize("n", [3, 1000, 60000])
 def test_exact_quantiles(spark, n):
     rnd = random.Random(n)
-    rows = [("a" if i % 3 else "b", rnd.choice([0.0, 1.0, rnd.random() * 1e6])) for i in range(n)] + [("a", None)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in rk.exact_quantiles(df, ["g"], "v", {"q25": 0.25, "q50": 0.5, "q99": 0.99}).collect()}
-    for g in {r[0] for r in rows}:
-        values = [v for k, v in rows if k == g and v is not None]
-        if values:
-            assert np.allclose([got[g].q25, got[g].q50, got[g].q99], np.percentile(values, [25, 50, 99]))
-        else:
-            assert g not in got
+    rows = [("a" if i % 3 else None, rnd.choice([0.0, 1.0, rnd.random() * 1e6])) for i in range(n)] + [("a", None), ("c", None)]
+    check_quantiles(spark, rows, {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q99": 0.99, "q1": 1.0})
+
+
+@pytest.mark.parametrize("listed", [0, 3])
+def test_quantiles_by_many_refinements(spark, monkeypatch, listed):
+    """With next to nothing listed, brackets close in on the value alone; groups are joined."""
+    monkeypatch.setattr(rk, "LISTED", listed)
+    monkeypatch.setattr(rk, "BROADCAST_GROUPS", 1)
+    rnd = random.Random(listed)
+    rows = [(f"g{i % 3}", rnd.choice([5.0, float(rnd.randrange(40)), rnd.expovariate(1) * 10 ** rnd.randrange(9)])) for i in range(4000)]
+    check_quantiles(spark, rows, {"q25": 0.25, "q50": 0.5})
+
+
+def test_quantiles_of_a_million_rows_with_ties(spark):
+    df = spark.range(1_000_003).select((F.col("id") * 7919 % 1_000_003).alias("i")).select(
+        F.when(F.col("i") % 3 == 0, F.lit(500_000.0)).otherwise(F.col("i").cast("double")).alias("v"))
+    got = rk.exact_quantiles(df, [], "v", {"q10": 0.1, "q50": 0.5, "q90": 0.9}).first()
+    values = np.arange(1_000_003.0)
+    values[::3] = 500_000.0
+    assert np.allclose(list(got), np.quantile(values, [0.1, 0.5, 0.9]), rtol=1e-12)
 
 
 def test_quantiles_of_nothing(spark):
@@ -80,6 +104,17 @@ def test_slice_rows(spark):
         assert sorted(r.id for r in rk.slice_rows(df, "id", start, end, limit).collect()) == list(range(start, stop))
 
 
+def test_slice_rows_by_text_and_time(spark, monkeypatch):
+    monkeypatch.setattr(rk, "PART_ROWS", 300)
+    df = spark.range(1000).select(
+        "id", F.when(F.col("id") != 0, F.format_string("p%04d", "id")).alias("t"), F.timestamp_seconds(F.col("id") * 61).alias("at")).repartition(5)
+    for order in ("t", "at"):
+        for start, end, limit in ((5, 17, None), (990, None, None), (250, 900, 430), (1000, None, None), (1, 1, None)):
+            stop = min(end if end is not None else 1000, start + limit if limit is not None else 1000)
+            assert sorted(r.id for r in rk.slice_rows(df, order, start, end, limit).collect()) == list(range(start, stop))
+    assert rk.slice_rows(df.limit(0), "t", 3, 9).count() == 0
+
+
 def greedy_model(edges, caps):
     """Sequential first-come selection: (key, priority, resources) in order."""
     used, out = {}, set()
@@ -91,12 +126,13 @@ def greedy_model(edges, caps):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("total", [None, 2])
-def test_capped_selection_equals_sequential(spark, seed, total):
+@pytest.mark.parametrize("seed,total,rows_a_bucket", [(0, None, 1000), (1, None, 25), (2, 2, 25), (3, 2, 8)])
+def test_capped_selection_equals_sequential(spark, monkeypatch, seed, total, rows_a_bucket):
+    """Whole in one task, and in several buckets with parallel rounds."""
+    monkeypatch.setattr(greedy, "BUCKET_ROWS", rows_a_bucket)
     rnd = random.Random(seed)
     edges, caps = [], {"s|0": rnd.randrange(5, 30), "s|1": rnd.randrange(5, 30)}
-    for i in range(120):
+    for i in range(150):
         s = rnd.randrange(2)
         a, b = rnd.sample(range(12), 2)
         res = (f"i|{s}|{a}", f"i|{s}|{b}", f"s|{s}")
@@ -112,6 +148,29 @@ def test_capped_selection_equals_sequential(spark, seed, total):
     assert {r.k for r in got.collect()} == greedy_model(edges, caps)
 
 
+def test_no_round_reads_rows_decided_before(spark, monkeypatch):
+    """Each bucket is read by one step; later rounds read what the round before left open, and full totals end the reading."""
+    monkeypatch.setattr(greedy, "BUCKET_ROWS", 10)
+    read = []
+    for name in ("_round", "_in_sequence"):
+        def spy(live, *rest, step=getattr(greedy, name), name=name):
+            read.append((name, live.inputFiles()))
+            return step(live, *rest)
+
+        monkeypatch.setattr(greedy, name, spy)
+    df = spark.range(200).select(
+        F.format_string("k%03d", "id").alias("k"), F.col("id").alias("p"), (F.col("id") % 7).cast("string").alias("a"), F.lit("all").alias("s"))
+    got = greedy.capped_selection(df, "k", ["p", "k"], [(F.col("a"), F.lit(9)), (F.col("s"), F.lit(45))], total=1)
+    assert {r.p for r in got.collect()} == set(range(45))
+    files = [f for _, found in read for f in found]
+    assert len(files) == len(set(files)) and {name for name, _ in read} == {"_round", "_in_sequence"}
+    buckets = {f.split("__bucket=")[1].split("/")[0] for f in files if "__bucket=" in f}
+    assert 0 < len(buckets) < 20  # the 45 rows are found before the last buckets
+    for before, after in zip(read, read[1:]):
+        if before[0] == "_round" and not any("__bucket=" in f for f in after[1]):
+            assert all("__open=true" in f for f in after[1])
+
+
 def test_diverse_files(spark):
     rows = [("A", 2016, "Winter"), ("A", 2017, "Winter"), ("B", 2016, "Winter"), ("B", 2018, "Monsoon"), ("C", 2016, "Winter"), ("C", 2019, "Winter")]
     df = spark.createDataFrame([(*r, f"/{i}", "success") for i, r in enumerate(rows)], "district string, year int, season string, full_path string, parse_status string")
