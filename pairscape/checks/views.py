@@ -224,7 +224,9 @@ def needed(sql: str, side: str) -> list[str]:
 
 
 def with_views(sql: str, side: str, extra: list[str] = ()) -> str:
-    parts = [f"{n} AS ({view_text(n, side)})" for n in needed(sql, side)]
+    # the database would work out a view again for each use
+    kept = "MATERIALIZED " if side == "duck" else ""
+    parts = [f"{n} AS {kept}({view_text(n, side)})" for n in needed(sql, side)]
     parts = list(extra) + parts
     body = sql.strip()
     if not parts:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import functions as fn
-from .ranking import beside, exact_quantiles, last_by_key
+from ..functions.text import as_col
+from ..session import cut_lineage
+from .ranking import beside, exact_quantiles
 
 # Pair columns that are not model features.
 PAIR_METADATA = (
@@ -77,13 +79,6 @@ def base_features(tab: DataFrame) -> list[str]:
     return fn.numeric_features(tab, TABULAR_KEYS)
 
 
-def _lookup(tab: DataFrame, features: list[str], order: list) -> DataFrame:
-    """One row per (join key, time index)."""
-    keyed = prepare_tabular(tab).dropna(subset=["district_join_key", "time_index"])
-    one = last_by_key(keyed, ["district_join_key", "time_index"], order)
-    return one.select("district_join_key", "time_index", *features)
-
-
 def _pair_keys(pairs: DataFrame) -> DataFrame:
     """Canonical seasons, the district's join key and both time indexes."""
     canonical = pairs.withColumns({f"season_{t}": fn.normalize_season(f"season_{t}") for t in ("t1", "t2")})
@@ -104,47 +99,107 @@ def _windows(keyed: DataFrame) -> DataFrame:
     return keyed.select("district_join_key", "__t1", "__t2").distinct()
 
 
-def _endpoints(spans: DataFrame, lookup: DataFrame, features: list[str]) -> DataFrame:
+def _points(spans: DataFrame, tab: DataFrame, features: list[str], order: list) -> DataFrame:
+    """One row for each (district, time) that a record or a span's end has.
+
+    ``__e``: the features of the time's last record in ``order``; ``__n``: its
+    records; ``__at`` and ``__before``: for each feature the running sums over the
+    district's records up to this time, with and without it; ``__known``: whether
+    the district has any record. Records are grouped before the running sums, so
+    a district has as many rows as its calendar.
+    """
+    key = "district_join_key"
+    records = prepare_tabular(tab).select(
+        key, F.col("time_index").alias("__t"), F.lit(True).alias("__rec"), F.struct(*[as_col(c) for c in order]).alias("__o"), *features
+    ).filter(F.col(key).isNotNull())
+    ends = [spans.select(key, F.col(f"__{t}").alias("__t"), F.lit(False).alias("__rec")) for t in ("t1", "t2")]
+    rows = records.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True)
+    counted = F.col("__t").isNotNull()  # a record without time is in no span
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(counted, c)), F.lit(0))
+
+    parts = {}
+    for i, f in enumerate(features):
+        v = fn.not_nan(f)
+        parts |= {
+            f"s{i}": F.coalesce(F.sum(F.when(counted, fn.finite(f))), F.lit(0.0)), f"c{i}": total(v.isNotNull().cast("long")),
+            # infinite values are counted, because a difference of sums would lose them
+            f"p{i}": total((v == float("inf")).cast("long")), f"m{i}": total((v == float("-inf")).cast("long")),
+        }
+    times = rows.groupBy(key, "__t").agg(
+        F.count_if("__rec").alias("__n"), F.max_by(F.struct(*features), F.struct("__rec", "__o")).alias("__e"),
+        total(F.col("__rec").cast("long")).alias("r"), *[c.alias(n) for n, c in parts.items()],
+    )
+    whole = Window.partitionBy(key)
+    upto = whole.orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ["r", *parts]
+    running = times.withColumns({f"__{c}": F.sum(c).over(upto) for c in sums} | {"__known": F.max(F.col("__n") > 0).over(whole)})
+    return running.filter(counted).select(
+        key, "__t", "__n", "__e", "__known", F.struct(*[F.col(f"__{c}").alias(c) for c in sums]).alias("__at"),
+        F.struct(*[(F.col(f"__{c}") - F.col(c)).alias(c) for c in sums]).alias("__before"),
+    )
+
+
+def _at_both_ends(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """The points of both ends beside each span, by equal keys."""
     out = spans
-    for t in ("t1", "t2"):
-        side = lookup.select(
-            "district_join_key", F.col("time_index").alias(f"__{t}"),
-            *[F.col(f).alias(f"{f}_{t}") for f in features], F.lit(True).alias(f"__has_{t}"),
+    for t, sums in (("t1", "__before"), ("t2", "__at")):
+        side = points.select(
+            "district_join_key", F.col("__t").alias(f"__{t}"), F.col("__e").alias(f"__e_{t}"),
+            (F.col("__n") == 0).alias(f"tabular_{t}_missing"), F.col(sums).alias(f"__sum_{t}"),
+            *([F.col("__known")] if t == "t1" else []),
         )
         out = out.join(side, ["district_join_key", f"__{t}"], "left")
-    t1, t2 = F.col("__has_t1").isNull(), F.col("__has_t2").isNull()
-    derived = {"tabular_t1_missing": t1, "tabular_t2_missing": t2, "tabular_any_missing": t1 | t2}
+    return out
+
+
+def _endpoint_columns(features: list[str]) -> dict[str, Column]:
+    t1, t2 = (F.coalesce(f"tabular_{t}_missing", F.lit(True)) for t in ("t1", "t2"))
+    out = {"tabular_t1_missing": t1, "tabular_t2_missing": t2, "tabular_any_missing": t1 | t2}
     for f in features:
-        a, b = fn.not_nan(f"{f}_t1"), fn.not_nan(f"{f}_t2")
-        derived[f"{f}_diff"] = b - a
-        derived[f"{f}_ratio"] = fn.safe_ratio(b, a)
-    return out.withColumns(derived).drop("__has_t1", "__has_t2")
+        a, b = F.col(f"__e_t1.{f}"), F.col(f"__e_t2.{f}")
+        out |= {f"{f}_t1": a, f"{f}_t2": b, f"{f}_diff": fn.not_nan(b) - fn.not_nan(a), f"{f}_ratio": fn.safe_ratio(fn.not_nan(b), fn.not_nan(a))}
+    return out
 
 
-def _between(spans: DataFrame, records: DataFrame, features: list[str]) -> DataFrame:
-    """Mean and sum over the records inside each span, both ends included.
+def _between_columns(features: list[str]) -> dict[str, Column]:
+    """Mean and sum over the records inside each span, both ends included, as the difference of two running sums.
 
-    Every record is kept here, also a second one for the same season. The
-    equi-key is the district; the time range is a residual condition.
+    Every record is kept here, also a second one for the same season. A span
+    without records has nulls.
     """
     counts = fn.count_features(features)
-    r = records.select(F.col("district_join_key").alias("__k"), F.col("time_index").alias("__t"), *features)
-    inside = (F.col("district_join_key") == F.col("__k")) & F.col("__t").between(F.col("__t1"), F.col("__t2"))
-    joined = spans.join(r, inside)
-    return joined.groupBy("district_join_key", "__t1", "__t2").agg(
-        *[F.avg(fn.not_nan(f)).alias(f"{f}_mean_between") for f in features],
-        *[F.coalesce(F.sum(fn.not_nan(f)), F.lit(0.0)).alias(f"{f}_sum_between") for f in counts],
-    )
+
+    def within(name: str) -> Column:
+        return F.col(f"__sum_t2.{name}") - F.col(f"__sum_t1.{name}")
+
+    means, sums = {}, {}
+    some = within("r") > 0
+    for i, f in enumerate(features):
+        high, low, n = within(f"p{i}") > 0, within(f"m{i}") > 0, within(f"c{i}")
+        total = F.when(high & low, float("nan")).when(high, float("inf")).when(low, float("-inf")).otherwise(within(f"s{i}"))
+        means[f"{f}_mean_between"] = F.when(some & (n > 0), total / n)
+        if f in counts:
+            sums[f"{f}_sum_between"] = F.when(some, F.when(n > 0, total).otherwise(0.0))
+    return means | sums
 
 
 SPAN = ["district_join_key", "__t1", "__t2"]
 
 
+def _span_table(pairs: DataFrame, tab: DataFrame, features: list[str], order: list) -> tuple[DataFrame, DataFrame]:
+    """(pairs with their span, spans with the points of both ends); the spans are few and written once, because two steps read them."""
+    keyed = _pair_keys(pairs)
+    spans = cut_lineage(_windows(keyed))
+    return keyed, _at_both_ends(spans, _points(spans, tab, features, order))
+
+
 def endpoint_features(pairs: DataFrame, tab: DataFrame, order=("year",)) -> DataFrame:
     """``_t1``, ``_t2``, ``_diff``, ``_ratio`` per feature and the missing flags."""
     features = base_features(tab)
-    keyed = _pair_keys(pairs)
-    wide = _endpoints(_windows(keyed), _lookup(tab, features, list(order)), features)
+    keyed, spans = _span_table(pairs, tab, features, list(order))
+    wide = spans.select(*SPAN, *[c.alias(n) for n, c in _endpoint_columns(features).items()])
     return _join_spans(keyed, wide).drop(*SPAN)
 
 
@@ -157,9 +212,9 @@ def _join_spans(keyed: DataFrame, wide: DataFrame) -> DataFrame:
 def between_features(pairs: DataFrame, tab: DataFrame) -> DataFrame:
     """Mean of every feature and sum of count features over the pair's time span."""
     features = base_features(tab)
-    keyed = _pair_keys(pairs)
-    records = prepare_tabular(tab)
-    return _join_spans(keyed, _between(_windows(keyed), records, features)).drop(*SPAN)
+    keyed, spans = _span_table(pairs, tab, features, ["year"])
+    wide = spans.select(*SPAN, *[c.alias(n) for n, c in _between_columns(features).items()])
+    return _join_spans(keyed, wide).drop(*SPAN)
 
 
 def district_presence(pairs: DataFrame, tab: DataFrame) -> DataFrame:
@@ -176,16 +231,11 @@ def pair_features(pairs: DataFrame, tab: DataFrame, order=("year",)) -> DataFram
     features = base_features(tab)
     counts = fn.count_features(features)
     extra = [c for c in ("time_gap_years",) if c in pairs.columns]
-    keyed = _pair_keys(pairs.select(*PAIR_METADATA, *extra))
-    spans = _windows(keyed)
-    records = prepare_tabular(tab)
-    present = records.select("district_join_key").dropna().distinct().withColumn("__in", F.lit(True))
+    keyed, spans = _span_table(pairs.select(*PAIR_METADATA, *extra), tab, features, list(order))
     # one wide row per span, then one join back to the pairs
-    wide = (
-        _endpoints(spans, _lookup(tab, features, list(order)), features)
-        .join(_between(spans, records, features), SPAN, "left")
-        .join(present, "district_join_key", "left")
-        .withColumn("tabular_district_missing", F.col("__in").isNull()).drop("__in")
+    wide = spans.select(
+        *SPAN, *[c.alias(n) for n, c in (_endpoint_columns(features) | _between_columns(features)).items()],
+        (~F.coalesce("__known", F.lit(False))).alias("tabular_district_missing"),
     )
     joined = _join_spans(keyed, wide)
     s1, s2 = F.col("season_t1"), F.col("season_t2")

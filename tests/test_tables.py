@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -112,6 +113,29 @@ def test_pair_features(spark):
     assert r["p3"].tabular_district_missing and r["p3"].temp_mean_between is None and r["p3"].flood_count_sum_between is None
 
 
+def test_between_features_against_each_span(spark):
+    """Running sums against the records of each span: several records a season, unknown values, infinities, spans beyond the records."""
+    rnd = random.Random(6)
+    values = [None, float("nan"), float("inf"), float("-inf")]
+    tab = [(rnd.choice(["a", "b", "c"]), 2010 + rnd.randrange(6), rnd.choice(["Winter", "PreMonsoon", "Monsoon", "PostMonsoon", None]),
+            rnd.choice([rnd.uniform(-5, 5)] * 9 + values), rnd.choice([None, rnd.randrange(9)])) for _ in range(150)]
+    order = {"Winter": 0, "PreMonsoon": 1, "Monsoon": 2, "PostMonsoon": 3}
+    spans = [(d, y1, s1, y2, s2) for d in ("A", "B", "Z") for y1 in (2008, 2011, 2013) for s1 in order for y2 in (2010, 2013, 2019) for s2 in ("Winter", "Monsoon")]
+    pairs = spark.createDataFrame([(f"p{i}", *x) for i, x in enumerate(spans)], "pair_id string, district string, year_t1 int, season_t1 string, year_t2 int, season_t2 string")
+    frame = spark.createDataFrame(tab, "district string, year int, season string, temp double, flood_count int")
+    got = {r.pair_id: r for r in tb.between_features(pairs, frame.repartition(3)).collect()}
+    assert len(got) == len(spans)
+    for i, (d, y1, s1, y2, s2) in enumerate(spans):
+        inside = [r for r in tab if r[0].upper() == d and r[2] and y1 * 4 + order[s1] <= r[1] * 4 + order[r[2]] <= y2 * 4 + order[s2]]
+        temps = [r[3] for r in inside if r[3] is not None and not math.isnan(r[3])]
+        x = got[f"p{i}"]
+        if temps:
+            assert np.allclose(x.temp_mean_between, sum(temps) / len(temps), equal_nan=True)
+        else:
+            assert x.temp_mean_between is None
+        assert x.flood_count_sum_between == (float(sum(r[4] or 0 for r in inside)) if inside else None)
+
+
 def test_train_stats_and_scaling(spark):
     rng = np.random.default_rng(0)
     rows = [("train" if i % 3 else "val", float(rng.normal()) if i % 5 else None, 7.0, None) for i in range(90)]
