@@ -271,20 +271,44 @@ def _(t):
 PIXEL_PATCHES = "SELECT concat('v', CAST(vec_id AS STRING), '_x', CAST(gx * 2 AS STRING), '_y', CAST(gy * 2 AS STRING)) AS patch_id, vec_id, " \
     "concat('a', CAST(vec_id AS STRING)) AS image_id_t1, concat('b', CAST(vec_id AS STRING)) AS image_id_t2, gx * 2 AS x, gy * 2 AS y " \
     "FROM embeddings CROSS JOIN (SELECT 0 AS gx UNION ALL SELECT 1 UNION ALL SELECT 2) a CROSS JOIN (SELECT 0 AS gy UNION ALL SELECT 1 UNION ALL SELECT 2) b"
+# every 41st second map is absent; some pixels occur twice, the second time with a smaller or no value
 PIXEL_ROWS = "SELECT concat('a', CAST(vec_id AS STRING)) AS image_id, row, col, c1 AS value, nodata FROM pix UNION ALL " \
-    "SELECT concat('b', CAST(vec_id AS STRING)) AS image_id, row, col, c2 AS value, nodata FROM pix"
+    "SELECT concat('b', CAST(vec_id AS STRING)) AS image_id, row, col, c2 AS value, nodata FROM pix WHERE vec_id % 41 <> 40 UNION ALL " \
+    "SELECT concat('a', CAST(vec_id AS STRING)) AS image_id, row, col, CASE WHEN pos % 2 = 0 THEN c1 - 1 END AS value, nodata FROM pix WHERE pos % 9 = 0"
 
 
-@query("X5_label_pixels", "patch_id:s " + LABEL_COLS,
-       f"""WITH s AS (SELECT patch_id, count(*) FILTER (WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND c1 <> nodata AND c2 <> nodata) AS v,
-                 count(*) FILTER (WHERE c1 <> c2 AND c1 <> nodata AND c2 <> nodata) AS c
-                 FROM ({PIXEL_PATCHES}) a JOIN pix b ON b.vec_id = a.vec_id AND b.col >= a.x AND b.col < a.x + 4 AND b.row >= a.y AND b.row < a.y + 4 GROUP BY patch_id)
-           SELECT patch_id, v AS valid_pixel_count, c AS changed_pixel_count, v / 16e0 AS valid_pixel_ratio, CASE WHEN v > 0 THEN CAST(c AS DOUBLE) / v END AS change_ratio,
-                  {class_sql('CASE WHEN v > 0 THEN CAST(c AS DOUBLE) / v END')} AS change_class, CASE WHEN v / 16e0 < 0.8::DOUBLE THEN 'invalid_low_valid_ratio' ELSE 'success' END AS label_status FROM s""")
+def pixel_label_sql(patch: int, patches: str) -> str:
+    """Labels by comparing every pixel of every window."""
+    ratio, area = "CASE WHEN v > 0 THEN CAST(c AS DOUBLE) / v END", float(patch * patch)
+    return f"""
+        WITH m AS (SELECT image_id, row, col, max(CASE WHEN value <> nodata THEN value END) AS value FROM ({PIXEL_ROWS}) r GROUP BY image_id, row, col),
+        s AS (SELECT p.patch_id, any_value(p.vec_id) AS vec_id, count(*) FILTER (WHERE a.value IS NOT NULL AND b.value IS NOT NULL) AS v, count(*) FILTER (WHERE a.value <> b.value) AS c
+              FROM ({patches}) p LEFT JOIN m a ON a.image_id = p.image_id_t1 AND a.col >= p.x AND a.col < p.x + {patch} AND a.row >= p.y AND a.row < p.y + {patch}
+              LEFT JOIN m b ON b.image_id = p.image_id_t2 AND b.row = a.row AND b.col = a.col GROUP BY p.patch_id),
+        g AS (SELECT *, vec_id % 41 <> 40 AS good FROM s)
+        SELECT patch_id, CASE WHEN good THEN v END AS valid_pixel_count, CASE WHEN good THEN c END AS changed_pixel_count, CASE WHEN good THEN v / {area} END AS valid_pixel_ratio,
+               CASE WHEN good THEN {ratio} END AS change_ratio, CASE WHEN good THEN {class_sql(ratio)} ELSE 'invalid' END AS change_class,
+               CASE WHEN NOT good THEN 'failed' WHEN v / {area} < 0.8::DOUBLE THEN 'invalid_low_valid_ratio' ELSE 'success' END AS label_status,
+               CASE WHEN NOT good THEN 'no pixels of raster b' || vec_id END AS label_error_message FROM g"""
+
+
+PIXEL_COLS = "patch_id:s " + LABEL_COLS + " label_error_message:s"
+
+
+@query("X5_label_pixels", PIXEL_COLS, pixel_label_sql(4, PIXEL_PATCHES))
 def _(t):
     return pt.label_pixels(t.sql(PIXEL_PATCHES), t.sql(PIXEL_ROWS), patch=4, stride=2)
 
 
+# windows of 5 pixels at every third place, partly beyond the raster
+ODD_PATCHES = PIXEL_PATCHES.replace("gx * 2", "gx * 3").replace("gy * 2", "gy * 3")
+
+
+@query("X5_label_pixels_odd_stride", PIXEL_COLS, pixel_label_sql(5, ODD_PATCHES))
+def _(t):
+    return pt.label_pixels(t.sql(ODD_PATCHES), t.sql(PIXEL_ROWS), patch=5, stride=3)
+
+
 @query("X6_robust_scale", "vec_id:i pos:i robust:d min_max:d",
        """WITH e AS (SELECT vec_id, pos, CASE WHEN pos = vec_id % 29 THEN 0 ELSE v END AS v FROM emb_pix),
           q AS (SELECT vec_id, quantile_cont(v, 0.01::DOUBLE) AS lo, quantile_cont(v, 0.99::DOUBLE) AS hi, min(v) AS a, max(v) AS b FROM e GROUP BY vec_id)

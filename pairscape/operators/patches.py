@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn
@@ -14,6 +16,9 @@ PATCH, STRIDE, CHANNELS = 128, 64, 13
 MIN_VALID_RATIO = 0.80
 MSG_NO_LABEL = "Missing label output for patch, likely due to failed chunk."
 MSG_NO_SIZE = "raster size unknown"
+MSG_NO_RASTER = "no pixels of raster "
+#: Side of a block of pixels that is summed as a whole.
+BLOCK = 64
 LABEL_COLUMNS = (
     "valid_pixel_count", "changed_pixel_count", "valid_pixel_ratio", "change_ratio", "change_class",
     "label_status", "label_error_message",
@@ -187,12 +192,60 @@ def label_arrays(
     )
     counted = coded.withColumn("__s", sums)
     good = _labels(F.col("__s.v"), F.col("__s.c"), F.size("__c"), minimum)
-    failed = F.col("__error").isNotNull()
-    final = {n: F.when(~failed, c) for n, c in good.items()}
-    final["change_class"] = F.when(failed, "invalid").otherwise(good["change_class"])
-    final["label_status"] = F.when(failed, "failed").otherwise(good["label_status"])
-    final["label_error_message"] = F.col("__error")
-    return counted.withColumns(final).drop("__c", "__s", "__error")
+    return _with_failures(counted, good).drop("__c", "__s", "__error")
+
+
+def _pixel_blocks(pixels: DataFrame) -> DataFrame:
+    """(image_id, bx, by, p, v): the valid pixels of each square block, by their place in it.
+
+    Of a pixel that occurs more than once the greatest valid value counts. The
+    pixels are shuffled once, by block, for both groupings.
+    """
+    value = F.when(F.col("nodata").isNull() | (F.col("value") != fn.not_nan("nodata")), fn.finite("value"))
+    placed = pixels.select(
+        "image_id", F.floor(F.col("col") / BLOCK).alias("bx"), F.floor(F.col("row") / BLOCK).alias("by"),
+        (F.col("row") % BLOCK * BLOCK + F.col("col") % BLOCK).cast("int").alias("p"), value.alias("v"),
+    ).filter(F.col("v").isNotNull())
+    block = ["image_id", "bx", "by"]
+    once = placed.repartition(*block).groupBy(*block, "p").agg(F.max("v").alias("v"))
+    cells = once.groupBy(*block).agg(F.collect_list(F.struct("p", "v")).alias("c"))
+    return cells.select(*block, F.col("c.p").alias("p"), F.col("c.v").alias("v"))
+
+
+def _block_counts(patch: int):
+    """Valid and changed pixels of every window's part in a block, from prefix sums over the block."""
+    side = BLOCK
+
+    def summed(flags: np.ndarray) -> np.ndarray:
+        out = np.zeros((side + 1, side + 1), np.int64)
+        out[1:, 1:] = flags.reshape(side, side).cumsum(0).cumsum(1)
+        return out
+
+    def dense(places, values) -> np.ndarray:
+        out = np.full(side * side, np.nan)
+        out[places] = values
+        return out
+
+    def count(batches):
+        for batch in batches:
+            valid, changed, offsets = [], [], batch.column("xs").value_lengths().to_numpy(zero_copy_only=False)
+            columns = {c: batch.column(c) for c in ("bx", "by", "p1", "v1", "p2", "v2", "xs", "ys")}
+            for i in range(batch.num_rows):
+                bx, by, *lists = (columns[c][i].values.to_numpy(zero_copy_only=False) if c not in ("bx", "by") else columns[c][i].as_py() for c in columns)
+                a, b = dense(lists[0], lists[1]), dense(lists[2], lists[3])
+                ok = ~np.isnan(a) & ~np.isnan(b)
+                x, y = lists[4] - bx * side, lists[5] - by * side
+                x0, x1, y0, y1 = np.maximum(x, 0), np.minimum(x + patch, side), np.maximum(y, 0), np.minimum(y + patch, side)
+                for flags, out in ((ok, valid), (ok & (a != b), changed)):
+                    t = summed(flags)
+                    out.append(t[y1, x1] - t[y0, x1] - t[y1, x0] + t[y0, x0])
+            at = np.repeat(np.arange(batch.num_rows), offsets)
+            ids = [batch.column(c).take(pa.array(at)) for c in ("image_id_t1", "image_id_t2")]
+            flat = [columns[c].flatten() for c in ("xs", "ys")]
+            sums = [pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in (valid, changed)]
+            yield pa.RecordBatch.from_arrays([*ids, *flat, *sums], ["image_id_t1", "image_id_t2", "x", "y", "v", "c"])
+
+    return count
 
 
 def label_pixels(
@@ -200,41 +253,61 @@ def label_pixels(
 ) -> DataFrame:
     """Label patches from pixel rows (image_id, row, col, value, nodata).
 
-    Overlapping patches share pixels, so pixels are first packed into square
-    blocks of gcd(patch, stride) pixels per image: one shuffle of the pixels,
-    each group bounded by the block. Valid and changed counts are computed once
-    per (image pair, block) and summed per patch, instead of sending a pixel to
-    every patch of every pair that covers it.
+    Pixels are packed once into blocks of ``BLOCK`` pixels a side, whatever patch
+    and stride are. For each image pair, a block that windows overlap gets 2-D
+    prefix sums of its valid and its changed pixels, so a window's part of a
+    block is four lookups, and a window sums at most ceil(patch / BLOCK) + 1
+    blocks a side. ``stride`` is checked only: windows may start anywhere.
+
+    A patch one of whose images has no pixel row at all is a failed row. Of a
+    pixel that occurs more than once the greatest valid value counts.
     """
     _check(patch, stride)
-    side = math.gcd(patch, stride)
-    per_side = patch // side
-    cell = F.struct(((F.col("row") % side) * side + F.col("col") % side).alias("p"),
-                    F.when(F.col("nodata").isNull() | (F.col("value") != fn.not_nan("nodata")), fn.finite("value")).alias("v"))
-    blocks = pixels.groupBy(
-        "image_id", F.floor(F.col("col") / side).alias("bx"), F.floor(F.col("row") / side).alias("by")
-    ).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
-    offsets = F.sequence(F.lit(0), F.lit(per_side - 1))
-    covered = (
-        patches.select("patch_id", "image_id_t1", "image_id_t2", F.floor(F.col("x") / side).alias("x0"), F.floor(F.col("y") / side).alias("y0"))
-        .withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
-        .select("patch_id", "image_id_t1", "image_id_t2", (F.col("x0") + F.col("dx")).alias("bx"), (F.col("y0") + F.col("dy")).alias("by"))
-    )
-    place = ["image_id_t1", "image_id_t2", "bx", "by"]
-    needed = covered.select(*place).distinct()
+    pair = ["image_id_t1", "image_id_t2"]
+    window = [*pair, "x", "y"]
+    windows = patches.select(*pair, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
+
+    def over(c: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(c) / BLOCK), F.floor((F.col(c) + patch - 1) / BLOCK)))
+
+    blocks = _pixel_blocks(pixels)
+    place = [*pair, "bx", "by"]
+    asked = windows.withColumn("bx", over("x")).withColumn("by", over("y")).groupBy(*place).agg(F.collect_list(F.struct("x", "y")).alias("w"))
+    asked = asked.select(*place, F.col("w.x").alias("xs"), F.col("w.y").alias("ys"))
 
     def of(t: str) -> DataFrame:
-        return blocks.select(F.col("image_id").alias(f"image_id_{t}"), "bx", "by", F.col("cells").alias(t))
-
-    both = needed.join(of("t1"), ["image_id_t1", "bx", "by"]).join(of("t2"), ["image_id_t2", "bx", "by"])
-    code = F.transform(F.map_entries("t1"), lambda e: F.struct(e["value"].alias("a"), F.try_element_at("t2", e["key"]).alias("b")))
-    ok = F.filter(code, lambda s: s["a"].isNotNull() & s["b"].isNotNull())
-    counted = both.select(*place, F.size(ok).alias("v"), F.size(F.filter(ok, lambda s: s["a"] != s["b"])).alias("c"))
-    summed = covered.join(counted, place, "left").groupBy("patch_id").agg(
-        F.coalesce(F.sum("v"), F.lit(0)).alias("__v"), F.coalesce(F.sum("c"), F.lit(0)).alias("__c")
+        return blocks.select(F.col("image_id").alias(f"image_id_{t}"), "bx", "by", F.col("p").alias(f"p{t[1]}"), F.col("v").alias(f"v{t[1]}"))
+
+    both = asked.join(of("t1"), ["image_id_t1", "bx", "by"]).join(of("t2"), ["image_id_t2", "bx", "by"])
+    kinds = {f.name: f.dataType.simpleString() for f in patches.schema.fields}
+    kind = ", ".join(f"{c} {kinds[c]}" for c in pair) + ", x long, y long, v long, c long"
+    counted = both.select(*place, "xs", "ys", "p1", "v1", "p2", "v2").mapInArrow(_block_counts(patch), kind)
+    summed = counted.groupBy(*window).agg(F.sum("v").alias("__v"), F.sum("c").alias("__c"))
+    there = pixels.select("image_id").distinct()
+    out = patches.withColumns({"__x": F.col("x").cast("long"), "__y": F.col("y").cast("long")}).join(
+        summed.withColumnsRenamed({"x": "__x", "y": "__y"}), [*pair, "__x", "__y"], "left"
     )
-    labels = _labels(F.col("__v"), F.col("__c"), F.lit(patch * patch), minimum)
-    return patches.join(summed, "patch_id").withColumns(labels).drop("__v", "__c")
+    missing = None
+    for c in pair:
+        side = there.select(F.col("image_id").alias(c), F.lit(True).alias(f"__has_{c}"))
+        out = out.join(side, c, "left")
+        absent = F.when(F.col(f"__has_{c}").isNull(), F.concat(F.lit(MSG_NO_RASTER), F.coalesce(F.col(c).cast("string"), F.lit("None"))))
+        missing = absent if missing is None else F.coalesce(missing, absent)
+    failed = out.withColumn("__error", missing)
+    labels = _labels(F.coalesce("__v", F.lit(0)), F.coalesce("__c", F.lit(0)), F.lit(patch * patch), minimum)
+    return _with_failures(failed, labels).drop("__v", "__c", "__x", "__y", "__error", *[f"__has_{c}" for c in pair]).select(
+        *patches.columns, *[c for c in labels if c not in patches.columns]
+    )
+
+
+def _with_failures(rows: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """``labels`` where ``__error`` is null; elsewhere a failed row with that message."""
+    failed = F.col("__error").isNotNull()
+    final = {n: F.when(~failed, c) for n, c in labels.items()}
+    final["change_class"] = F.when(failed, "invalid").otherwise(labels["change_class"])
+    final["label_status"] = F.when(failed, "failed").otherwise(labels["label_status"])
+    final["label_error_message"] = F.col("__error")
+    return rows.withColumns(final)
 
 
 def attach_labels(patches: DataFrame, labels: DataFrame) -> DataFrame:

@@ -93,6 +93,31 @@ def test_labels_against_numpy_and_pixels(spark):
         assert (r.valid_pixel_count, r.changed_pixel_count) == (ok.sum(), (a[ok] != b[ok]).sum())
 
 
+@pytest.mark.parametrize("patch,stride", [(128, 63), (30, 7), (70, 64)])
+def test_pixel_labels_of_any_stride(spark, patch, stride):
+    """Windows over several blocks of 64 pixels; a repeated pixel, unknown pixels, an absent raster, repeated patches."""
+    rng, side = np.random.default_rng(patch), 150
+    maps = {n: rng.integers(0, 3, (side, side)).astype(float) for n in ("a", "b")}
+    gone = rng.random((side, side)) < 0.1
+    rows = [(n, r, c, float(m[r, c]), 0.0) for n, m in maps.items() for r in range(side) for c in range(side) if not (n == "b" and gone[r, c])]
+    rows += [("a", 70, 70, 9.0, 0.0), ("a", 70, 70, None, 0.0), ("a", 70, 70, float("nan"), None), ("a", 3, 3, 0.0, 0.0)]
+    maps["a"][70, 70] = 9.0
+    table = spark.createDataFrame(rows, "image_id string, row int, col int, value double, nodata double").repartition(4)
+    starts = range(0, side - patch + 1, stride)
+    places = [(f"p{x}_{y}", "a", "b", x, y) for x in starts for y in starts] + [("again", "a", "b", 0, 0), ("lost", "a", "z", 0, 0), ("none", None, "b", 0, 0)]
+    patches = spark.createDataFrame(places, "patch_id string, image_id_t1 string, image_id_t2 string, x int, y int")
+    got = {r.patch_id: r for r in pt.label_pixels(patches, table, patch, stride).collect()}
+    assert len(got) == len(places)
+    for name, raster in (("lost", "z"), ("none", "None")):
+        assert (got[name].label_status, got[name].change_class, got[name].label_error_message) == ("failed", "invalid", "no pixels of raster " + raster)
+        assert got[name].valid_pixel_count is None
+    for name, _, second, x, y in places:
+        if name not in ("lost", "none"):
+            a, b, no = (m[y:y + patch, x:x + patch] for m in (maps["a"], maps["b"], gone))
+            ok = (a != 0) & (b != 0) & ~no
+            assert (got[name].valid_pixel_count, got[name].changed_pixel_count) == (ok.sum(), (ok & (a != b)).sum())
+
+
 def test_robust_scale(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=200)
