@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import patches as pt
 from ..session import shared_folder
 from ..sources import files, store, tables
-from ..streaming.labels import incremental_labels
+from ..streaming.labels import incremental_labels, read_labels
 from .q_evaluation import REG, pred_df
 from .q_rasters import ARRAY_LABEL_SQL, CHANNELS, LABEL_COLS, SIDE, class_arrays, sample_parts
 from .registry import query
@@ -100,6 +100,19 @@ def _(t):
     )
 
 
+@query("S7_stored_errors", "patch_id:s error_message:s",
+       """SELECT 'P' || vec_id AS patch_id, CASE WHEN vec_id % 3 = 0 THEN 'second' ELSE 'first' END AS error_message FROM embeddings WHERE NOT (vec_id % 2 = 1 AND vec_id % 50 < 45)""")
+def _(t):
+    """Failures of two runs: the last one of a patch counts, and none of a patch that a run has stored."""
+    patches, bands, vectors = sample_parts(t)
+    samples, _ = pt.build_samples(patches, bands, vectors, CHANNELS, SIDE * SIDE)
+    number, path = F.substring("patch_id", 2, 9).cast("int"), f"{scratch(t)}/store"
+    every = t.table("embeddings").select(F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("patch_id"), F.lit("p").alias("pair_id"), F.lit("test").alias("split"))
+    store.write_samples(samples.limit(0), every.withColumn("error_message", F.lit("first")), path)
+    store.write_samples(samples.filter(number % 2 == 1), every.filter(number % 3 == 0).withColumn("error_message", F.lit("second")), path)
+    return store.read_errors(t.spark, path)
+
+
 @query("S8_save_results", "kind:s name:s value:d",
        f"""SELECT 'metric' AS kind, metric AS name, value FROM (SELECT {REG} FROM predictions) r UNPIVOT INCLUDE NULLS (value FOR metric IN (mae, mse, rmse, r2, pearson_corr, mean_pred, mean_target))
            UNION ALL SELECT 'group', pair_type, avg(abs_error) FROM predictions GROUP BY pair_type UNION ALL SELECT 'prediction', patch_id, abs_error FROM predictions""")
@@ -124,4 +137,18 @@ def _(t):
     for condition in (half, ~half):  # two arrivals, two runs
         arrays.filter(condition).write.mode("append").parquet(f"{root}/in")
         incremental_labels(t.spark, f"{root}/in", f"{root}/ckpt", f"{root}/out", arrays.schema)
-    return t.spark.read.parquet(f"{root}/out")
+    return read_labels(t.spark, f"{root}/out", arrays.schema)
+
+
+@query("Q1_incremental_labels_forced", "patch_id:i " + LABEL_COLS, ARRAY_LABEL_SQL)
+def _(t):
+    """Labeled under another limit first, then all over again with what has arrived since."""
+    root = scratch(t)
+    arrays = class_arrays(t).withColumn("pair_id", F.lit("p"))
+    third = F.col("patch_id") % 3 == 0
+    paths = f"{root}/in", f"{root}/ckpt", f"{root}/out"
+    arrays.filter(third).write.parquet(paths[0])
+    incremental_labels(t.spark, *paths, arrays.schema, minimum=0.0)
+    arrays.filter(~third).write.mode("append").parquet(paths[0])
+    incremental_labels(t.spark, *paths, arrays.schema, force=True)
+    return read_labels(t.spark, paths[2], arrays.schema)

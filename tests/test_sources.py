@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pairscape.operators import audit as au
 from pairscape.plans import reports as rp
 from pairscape.sources import files, store, tables
-from pairscape.streaming.labels import incremental_labels, labeled_stream
+from pairscape.sources import commits
+from pairscape.streaming import labels
 
 
 @pytest.mark.parametrize("kind", ["csv", "parquet", "json"])
@@ -86,32 +87,88 @@ def samples(spark, ids):
                                  "time_gap_group string, change_ratio float, image_t1 array<float>, image_t2 array<float>, tabular array<float>")
 
 
+def failures(spark, rows):
+    return spark.createDataFrame([(i, "q", "train", m) for i, m in rows], "patch_id string, pair_id string, split string, error_message string")
+
+
 def test_sample_store_skips_what_it_has(spark, tmp_path):
-    path, none = f"{tmp_path}/store", spark.createDataFrame([], "patch_id string, pair_id string, split string, error_message string")
-    store.write_samples(samples(spark, "abc"), none, path)
-    index, errors, skipped = store.write_samples(samples(spark, "abcde"), none, path)
-    assert sorted(r.patch_id for r in skipped.collect()) == ["a", "b", "c"] and index.count() == 5 and errors.count() == 0
+    path = f"{tmp_path}/store"
+    store.write_samples(samples(spark, "abc"), failures(spark, [("d", "no band"), ("z", "cut short")]), path)
+    assert {(r.patch_id, r.error_message) for r in store.read_errors(spark, path).collect()} == {("d", "no band"), ("z", "cut short")}
+    index, errors, skipped = store.write_samples(samples(spark, "abcde"), failures(spark, [("z", "gone"), ("y", "new")]), path)
+    assert sorted(r.patch_id for r in skipped.collect()) == ["a", "b", "c"] and index.count() == 5
+    # d is stored by now, z failed again
+    assert {(r.patch_id, r.error_message) for r in errors.collect()} == {("z", "gone"), ("y", "new")}
     assert sorted(r.patch_id for r in store.read_samples(spark, path).collect()) == list("abcde")
     assert store.read_samples(spark, path, "train").count() == 3
-    store.write_samples(samples(spark, "xy"), none, path, force=True)
+    assert {r.patch_id: os.path.basename(os.path.dirname(r.npz_path)) for r in index.collect()} == {c: "split=test" if n % 2 else "split=train" for n, c in enumerate("abcde")}
+    store.write_samples(samples(spark, "xy"), failures(spark, []), path, force=True)
     assert sorted(r.patch_id for r in store.read_samples(spark, path).collect()) == ["x", "y"]
+    assert store.read_errors(spark, path).count() == 0 and store.read_index(spark, path).count() == 2
+
+
+def test_store_shows_an_interrupted_run_to_nobody(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/store"
+    store.write_samples(samples(spark, "ab"), failures(spark, [("e", "bad")]), path)
+    with monkeypatch.context() as m:
+        m.setattr(store.CommitLog, "add", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.write_samples(samples(spark, "abcd"), failures(spark, [("f", "worse")]), path)
+        with pytest.raises(OSError):
+            store.write_samples(samples(spark, "x"), failures(spark, []), path, force=True)
+    assert sorted(r.patch_id for r in store.read_samples(spark, path).collect()) == ["a", "b"]
+    assert [r.patch_id for r in store.read_errors(spark, path).collect()] == ["e"]
+    index, _, _ = store.write_samples(samples(spark, "abcd"), failures(spark, []), path)
+    assert index.count() == 4 == store.read_index(spark, path).count()
+    with pytest.raises(FileNotFoundError):
+        store.read_samples(spark, f"{tmp_path}/nothing")
+    with pytest.raises(RuntimeError):
+        commits.CommitLog(spark, f"{path}/_log").add("00000000", {})
 
 
-def test_stream_equals_batch_and_resumes(spark, tmp_path):
+def test_stream_equals_batch_resumes_and_starts_over(spark, tmp_path, monkeypatch):
     rows = [(f"p{i}", "q", [1.0, 2.0, float(i % 3)], [1.0, 2.0, 2.0] if i % 4 else [1.0], None, 9.0) for i in range(12)]
     df = spark.createDataFrame(rows, "patch_id string, pair_id string, values_t1 array<double>, values_t2 array<double>, nodata_t1 double, nodata_t2 double")
     source, ckpt, out = (f"{tmp_path}/{n}" for n in ("in", "ckpt", "out"))
 
-    def run():
-        incremental_labels(spark, source, ckpt, out, df.schema, max_files=1)
-        return sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
+    def shown():
+        return sorted(map(tuple, labels.read_labels(spark, out, df.schema).collect()), key=str)
+
+    def run(**options):
+        labels.incremental_labels(spark, source, ckpt, out, df.schema, max_files=1, **options)
+        return shown()
+
+    def batch(part):
+        return sorted(map(tuple, labels.labeled_stream(part).collect()), key=str)
 
-    df.filter("patch_id < 'p5'").write.mode("append").parquet(source)
-    first = run()
-    assert run() == first  # nothing new, nothing labeled twice
+    early = df.filter("patch_id < 'p5'")
+    early.write.mode("append").parquet(source)
+    assert shown() == [] and run() == batch(early)
+    assert run() == batch(early)  # nothing new, nothing labeled twice
     df.filter("patch_id >= 'p5'").write.mode("append").parquet(source)
-    assert run() == sorted(map(tuple, labeled_stream(df).collect()), key=str)
-    assert {r[0] for r in first} == {r.patch_id for r in df.filter("patch_id < 'p5'").collect()}
+    # a run that ends between the data of a batch and its entry, then goes on
+    with monkeypatch.context() as m:
+        m.setattr(labels.CommitLog, "add", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(Exception):
+            run()
+    assert shown() == batch(early)
+    assert run() == batch(df)
+    # a forced run shows its labels at its end, and an interrupted one changes nothing
+    real = labels.CommitLog.add
+
+    def no_publishing(log, name, entry):
+        if name.startswith("published-"):
+            raise OSError("lost")
+        real(log, name, entry)
+
+    with monkeypatch.context() as m:
+        m.setattr(labels.CommitLog, "add", no_publishing)
+        with pytest.raises(OSError):
+            run(force=True, minimum=1.1)
+    assert shown() == batch(df)
+    other = run(force=True, minimum=1.1)
+    assert other == sorted(map(tuple, labels.labeled_stream(df, 1.1).collect()), key=str) and other != batch(df)
+    assert run(minimum=1.1) == other
 
 
 def test_nested_path_rewrite(spark):
