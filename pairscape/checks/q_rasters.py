@@ -7,6 +7,7 @@ from ..operators import inventory as inv, patches as pt
 from ..operators.greedy import diverse_files
 from ..operators.ranking import first_by_key, last_by_key
 from ..plans import reports as rp
+from ..session import stored
 from .registry import query
 
 FIRST_A = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY full_path, seq) AS rn FROM sensor_a WHERE image_id IS NOT NULL) v WHERE rn = 1)"
@@ -108,12 +109,17 @@ def metrics_sql(source: str, kind: str = "metric", **metrics: str) -> str:
     )
 
 
-@query("R2_inventory_report", REPORT,
-       metrics_sql("sensor_a", total_files_found="count(*)", successfully_parsed_files="count(*) FILTER (WHERE parse_status = 'success')",
-                   failed_parsed_files="count(*) FILTER (WHERE parse_status = 'failed')")
-       + " UNION ALL " + counts_sql("sensor_a", **{f"count_by_{c}": c for c in ("district", "year", "season", "parse_status")}))
+def inventory_sql(sensor: str) -> str:
+    return f"SELECT '{sensor}' AS sensor, * FROM (" + metrics_sql(
+        sensor, total_files_found="count(*)", successfully_parsed_files="count(*) FILTER (WHERE parse_status = 'success')",
+        failed_parsed_files="count(*) FILTER (WHERE parse_status = 'failed')",
+    ) + " UNION ALL " + counts_sql(sensor, **{f"count_by_{c}": c for c in ("district", "year", "season", "parse_status")}) + ") r"
+
+
+@query("R2_inventory_report", "sensor:s " + REPORT, inventory_sql("sensor_a") + " UNION ALL " + inventory_sql("sensor_b"))
 def _(t):
-    return rp.inventory_report(t.view("sensor_a"))
+    parts = [rp.inventory_report(t.view(s)).withColumn("sensor", F.lit(s)) for s in ("sensor_a", "sensor_b")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("R3_quality_report", REPORT,
@@ -148,7 +154,20 @@ def _(t):
     )
 
 
-@query("W14_diverse_files", "district:s year:i season:s full_path:s")
+# three times the first file whose district and year are not taken yet
+DIVERSE_SQL = """
+    WITH RECURSIVE ok AS (SELECT *, row_number() OVER (ORDER BY district, year, season, full_path) AS place FROM sensor_b
+                WHERE parse_status = 'success' AND district IS NOT NULL AND year IS NOT NULL),
+    pick AS (
+        SELECT 0 AS step, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS districts, CAST([] AS BIGINT[]) AS years
+        UNION ALL
+        SELECT step, place, list_append(districts, district), list_append(years, CAST(year AS BIGINT)) FROM (
+            SELECT p.step + 1 AS step, o.place, p.districts, p.years, o.district, o.year, row_number() OVER (ORDER BY o.place) AS rn
+            FROM pick p, ok o WHERE p.step < 3 AND NOT list_contains(p.districts, o.district) AND NOT list_contains(p.years, CAST(o.year AS BIGINT))) c WHERE rn = 1)
+    SELECT o.district, o.year, o.season, o.full_path FROM ok o JOIN pick p ON p.place = o.place WHERE p.step > 0"""
+
+
+@query("W14_diverse_files", "district:s year:i season:s full_path:s", DIVERSE_SQL)
 def _(t):
     return diverse_files(t.view("sensor_b"))
 
@@ -203,12 +222,12 @@ INDEX_SQL = """
     SELECT *, pair_id || '_x' || x || '_y' || y AS patch_id, 128 AS patch_size FROM (
       SELECT *, unnest(range(0, height - 127, 64)) AS y FROM (
         SELECT p.*, a.height, unnest(range(0, a.width - 127, 64)) AS x
-        FROM near_pairs p JOIN sizes a ON a.path = p.sentinel_path_t1 JOIN sizes b ON b.path = p.sentinel_path_t2
+        FROM pairs p JOIN sizes a ON a.path = p.sentinel_path_t1 JOIN sizes b ON b.path = p.sentinel_path_t2
         WHERE a.width = b.width AND a.height = b.height) g) h"""
 
 
 def index_df(t):
-    return pt.patch_index(t.view("near_pairs"), t.view("sizes"))[0]
+    return pt.patch_index(t.view("pairs"), t.view("sizes"))[0]
 
 
 @query("X3_patch_index", "patch_id:s pair_id:s district:s split:s pair_type:s time_gap_group:s x:i y:i dw_path_t1:s", INDEX_SQL)
@@ -218,13 +237,13 @@ def _(t):
 
 ERROR_SQL = """SELECT p.pair_id, p.district, p.split, CASE WHEN a.path IS NULL OR b.path IS NULL THEN 'raster size unknown'
     ELSE 'Sentinel t1/t2 shape mismatch: t1=' || a.width || 'x' || a.height || ', t2=' || b.width || 'x' || b.height END AS error_message
-    FROM near_pairs p LEFT JOIN sizes a ON a.path = p.sentinel_path_t1 LEFT JOIN sizes b ON b.path = p.sentinel_path_t2
+    FROM pairs p LEFT JOIN sizes a ON a.path = p.sentinel_path_t1 LEFT JOIN sizes b ON b.path = p.sentinel_path_t2
     WHERE a.path IS NULL OR b.path IS NULL OR a.width <> b.width OR a.height <> b.height"""
 
 
 @query("X3_patch_index_errors", "pair_id:s district:s split:s error_message:s", ERROR_SQL)
 def _(t):
-    return pt.patch_index(t.view("near_pairs"), t.view("sizes"))[1]
+    return pt.patch_index(t.view("pairs"), t.view("sizes"))[1]
 
 
 @query("V5_check_grid", "path:s x:i y:i",
@@ -428,20 +447,20 @@ def _(t):
 
 @query("R11_patch_report", REPORT,
        f"""WITH i AS ({INDEX_SQL}), c AS (SELECT count(*) AS n FROM i GROUP BY pair_id)
-           SELECT 'metric' AS summary_type, 'total_input_pairs' AS value, count(*)::DOUBLE AS count FROM near_pairs
+           SELECT 'metric' AS summary_type, 'total_input_pairs' AS value, count(*)::DOUBLE AS count FROM pairs
            UNION ALL SELECT 'metric', 'total_patch_rows', count(*) FROM i UNION ALL SELECT 'metric', 'pair_error_count', count(*) FROM ({ERROR_SQL}) e
            UNION ALL SELECT 'metric', 'min_patches_per_pair', min(n) FROM c UNION ALL SELECT 'metric', 'max_patches_per_pair', max(n) FROM c
            UNION ALL SELECT 'metric', 'mean_patches_per_pair', avg(n) FROM c
            UNION ALL SELECT 'metric', 'estimated_float16_image_pair_storage_gb', count(*) * 851968e0 / 1e9 FROM i UNION ALL """
        + counts_sql("i", **{f"patch_rows_by_{c}": c for c in ("split", "district", "pair_type", "time_gap_group")}))
 def _(t):
-    pairs = t.view("near_pairs")
+    pairs = t.view("pairs")
     index, errors = pt.patch_index(pairs, t.view("sizes"))
     return rp.patch_report(pairs, index, errors)
 
 
 def sampling_sql() -> str:
-    return W4_SQL + """, meta AS (SELECT DISTINCT pair_id, split, district, pair_type, time_gap_group FROM near_pairs),
+    return W4_SQL + """, meta AS (SELECT DISTINCT pair_id, split, district, pair_type, time_gap_group FROM pairs),
         took AS (SELECT pair_id, count(*) AS k FROM turn WHERE turn <= 8 OR n <= 8 GROUP BY pair_id) """
 
 
@@ -449,7 +468,7 @@ def sampling_sql() -> str:
        sampling_sql() + "SELECT s.pair_id, split, district, s.n AS original_patch_count, k AS sampled_patch_count, k / CAST(s.n AS DOUBLE) AS sampling_ratio "
        "FROM span s JOIN meta m ON m.pair_id = s.pair_id JOIN took t ON t.pair_id = s.pair_id")
 def _(t):
-    full = index_df(t)
+    full = stored(index_df(t))
     return rp.per_pair_sampling(full, pt.spatial_sample(full, 8))
 
 
@@ -460,8 +479,8 @@ def _(t):
                      min_original_patches_per_pair="min(n)", max_original_patches_per_pair="max(n)", mean_original_patches_per_pair="avg(n)")
        + " UNION ALL " + counts_sql("smp", **{f"sampled_by_{c}": c for c in ("split", "district", "pair_type", "time_gap_group")}))
 def _(t):
-    full = index_df(t)
-    return rp.sampling_report(full, pt.spatial_sample(full, 8))
+    full = stored(index_df(t))
+    return rp.sampling_report(full, stored(pt.spatial_sample(full, 8)))
 
 
 @query("J14_attach_labels", "patch_id:s label_status:s change_class:s change_ratio:d label_error_message:s",

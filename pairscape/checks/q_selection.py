@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import selection as se
+from ..operators.greedy import capped_selection
 from ..operators.ranking import even_sample, first_by_key, slice_rows, top_k
 from ..plans import reports as rp
 from .q_rasters import REPORT, counts_sql, metrics_sql
@@ -219,3 +220,32 @@ def _(t):
        + counts_sql("pairs", **{f"pairs_by_{c}": c for c in (*DIMS, "time_gap_years")}))
 def _(t):
     return rp.pair_report(t.view("pairs"), t.view("images"))
+
+
+@query(
+    "W12_capped_selection_one", "patch_id:s pair_id:s",
+    "SELECT patch_id, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY x, patch_id) AS rn FROM labeled) r WHERE rn <= 7",
+)
+def _(t):
+    rows = t.view("labeled").select("patch_id", "pair_id", "x")
+    return capped_selection(rows, "patch_id", ["x", "patch_id"], [(F.col("pair_id"), F.lit(7))])
+
+
+# every row in turn, against counters of both of its resources
+TWO_SQL = """
+    WITH RECURSIVE turn AS (SELECT c_custkey, c_nationkey + 1 AS a, c_custkey % 40 + 1 AS b, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS i FROM customer),
+    walk AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS c_custkey, FALSE AS fits, list_transform(range(25), lambda x: CAST(0 AS BIGINT)) AS used_a,
+               list_transform(range(40), lambda x: CAST(0 AS BIGINT)) AS used_b
+        UNION ALL
+        SELECT i, c_custkey, fits, list_transform(used_a, lambda x, k: x + CASE WHEN fits AND k = a THEN 1 ELSE 0 END),
+               list_transform(used_b, lambda x, k: x + CASE WHEN fits AND k = b THEN 1 ELSE 0 END)
+        FROM (SELECT t.i, t.c_custkey, t.a, t.b, w.used_a, w.used_b, w.used_a[t.a] < 9 AND w.used_b[t.b] < 5 AS fits FROM walk w JOIN turn t ON t.i = w.i + 1) s)
+    SELECT c_custkey FROM walk WHERE fits"""
+
+
+@query("W12_capped_selection_two", "c_custkey:i", TWO_SQL)
+def _(t):
+    nation, group = F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("g"), F.col("c_custkey") % 40)
+    rows = t.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return capped_selection(rows, "c_custkey", ["c_mktsegment", "c_custkey"], [(nation, F.lit(9)), (group, F.lit(5))])

@@ -91,9 +91,6 @@ VIEWS = {
                a.sentinel_path AS sentinel_path_t1, b.sentinel_path AS sentinel_path_t2,
                a.dw_path AS dw_path_t1, b.dw_path AS dw_path_t2
         FROM images a JOIN images b ON a.split = b.split AND a.district = b.district AND b.ti > a.ti""",
-    "near_pairs": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id_t1 ORDER BY time_index_t2) AS rn FROM pairs) p
-        WHERE rn = 1""",
     "sizes": """
         SELECT sentinel_path AS path, 256 + 64 * (nk % 3) + CASE WHEN ti % 17 = 0 THEN 64 ELSE 0 END AS width,
                192 + 64 * (nk % 2) AS height
@@ -231,8 +228,9 @@ def with_views(sql: str, side: str, extra: list[str] = ()) -> str:
     body = sql.strip()
     if not parts:
         return body
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join(parts) + ",\n" + body[len(start):]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 

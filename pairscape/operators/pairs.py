@@ -73,7 +73,7 @@ def type_quotas(target: int, shares: dict[str, float] = TYPE_SHARES) -> dict[str
 def pair_priority(pairs: DataFrame, targets: dict[str, int], seed: int, shares=TYPE_SHARES) -> DataFrame:
     """Static turn order of the candidates of each split.
 
-    Inside a type the gap groups take turns (hash rank in the gap group, then
+    Only splits that ``targets`` names have a turn. Inside a type the gap groups take turns (hash rank in the gap group, then
     the group's name); across types the one with the lowest filled share goes
     first. The rank inside a type follows from the sizes of its gap groups by
     arithmetic, so only the hash rank needs a shuffle.
@@ -83,7 +83,8 @@ def pair_priority(pairs: DataFrame, targets: dict[str, int], seed: int, shares=T
     sizes = pairs.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).groupBy("split", "pair_type").agg(
         F.collect_list(F.struct("time_gap_group", "n")).alias("__gaps")  # at most six entries
     )
-    joined = ranked.join(sizes, ["split", "pair_type"])
+    # one row for each split and type
+    joined = ranked.join(F.broadcast(sizes.filter(F.col("split").isin(*targets))), ["split", "pair_type"])
     before = F.aggregate(
         "__gaps", F.lit(0).cast("bigint"),
         lambda acc, g: acc + F.least(g["n"], F.col("__r"))

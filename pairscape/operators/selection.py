@@ -45,7 +45,13 @@ def class_pair_cap(df: DataFrame, caps: dict[str, int] = PAIR_CAPS, seed: int =
         (F.sum(F.least("n", "__cap")) / F.greatest(F.lit(1), F.sum("n"))).alias("class_sampling_weight")
     )
     sampled = even_sample(rows, group, F.col("__cap"), seed)
-    return sampled.join(weights, ["split", "change_class"]).withColumn(
+    # one entry a split and class: a scalar beside the rows, which are not shuffled for it
+    entry = F.struct(F.struct("split", "change_class").alias("key"), F.col("class_sampling_weight").alias("value"))
+    shares = weights.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    weighed = sampled.withColumn("__shares", shares).withColumn(
+        "class_sampling_weight", F.try_element_at("__shares", F.struct("split", "change_class"))
+    ).drop("__shares")
+    return weighed.withColumn(
         "selection_stage", F.concat(F.col("change_class"), F.lit("_pair_cap_"), F.col("__cap").cast("string"))
     ).drop("__cap")
 
@@ -80,15 +86,16 @@ def balanced_selection(df: DataFrame, targets: dict[str, int], seed: int = 42) -
     """Low and medium rows under their pair caps; high rows capped by pair, district and total.
 
     All splits go through each stage together. The capped rows are
-    materialized, because three later stages read them.
+    materialized, because three later stages read them. What is joined by split
+    has one row for each entry of ``targets``.
     """
     capped = cut_lineage(class_pair_cap(df.filter(F.col("split").isin(*targets)), seed=seed))
     rest = capped.filter(F.col("change_class") != "high")
     goals = high_targets(rest, targets)
-    high = capped.filter(F.col("change_class") == "high").join(goals, "split")
+    high = capped.filter(F.col("change_class") == "high").join(F.broadcast(goals), "split")
     spread = cut_lineage(high_district_cap(high, F.col("high_target"), seed))
     over = spread.groupBy("split").agg((F.count(F.lit(1)) > F.max("high_target")).alias("__over"))
-    final = even_sample(spread.join(over, "split"), ["split"], F.col("high_target"), seed, crowded=True)
+    final = even_sample(spread.join(F.broadcast(over), "split"), ["split"], F.col("high_target"), seed, crowded=True)
     tagged = final.withColumn("selection_stage", F.when(
         F.col("__over"), F.concat("selection_stage", F.lit("|high_target_cap"))
     ).otherwise(F.col("selection_stage")))
