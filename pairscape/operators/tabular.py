@@ -316,8 +316,8 @@ def impute_scale(df: DataFrame, stats: DataFrame, cols: list[str] | None = None)
 
 
 def complete_pairs(pairs: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept pairs, removed pairs, kept features) by the any-missing flag."""
-    ids = feats.filter(~F.col("tabular_any_missing")).select("pair_id").distinct()
+    """(kept pairs, removed pairs, kept features) by the any-missing flag; the ids are written once for the three."""
+    ids = cut_lineage(feats.filter(~F.col("tabular_any_missing")).select("pair_id").distinct())
     return (
         pairs.join(ids, "pair_id", "left_semi"),
         pairs.join(ids, "pair_id", "left_anti"),

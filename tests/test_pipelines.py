@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairscape.plans import pipelines
@@ -21,3 +22,67 @@ def test_feature_tables_end_to_end(spark):
     assert {r.district for r in absent} <= {"D4"}
     means = out["scaled"].filter("split = 'train'").agg(F.avg("temp_t1"), F.avg("flood_count_sum_between")).first()
     assert all(abs(v) < 1e-9 for v in means)
+
+
+def test_labeled_selection_end_to_end(spark):
+    rng, side, patch, stride = np.random.default_rng(11), 12, 4, 2
+    names = [f"D{d}_{t}" for d in range(4) for t in range(3)]
+    maps = {n: rng.choice([1.0, 1.0, 1.0, 2.0], (side, side)) for n in names}
+    pixels = spark.createDataFrame(
+        [(n, r, c, float(m[r, c]), 0.0) for n, m in maps.items() if n != "D3_2" for r in range(side) for c in range(side)],
+        "image_id string, row int, col int, value double, nodata double")
+    sizes = spark.createDataFrame([(f"/{n}", side + (n == "D2_0"), side) for n in names], "path string, width int, height int")
+    rows = [(f"D{d}_{a}{b}", f"D{d}", "train" if d < 2 else "test", f"D{d}_{a}", f"D{d}_{b}", "same_season_multiyear", "short", f"/D{d}_{a}", f"/D{d}_{b}")
+            for d in range(4) for a in range(3) for b in range(a + 1, 3)]
+    pairs = spark.createDataFrame(rows, "pair_id string, district string, split string, image_id_t1 string, image_id_t2 string, pair_type string, "
+                                        "time_gap_group string, sentinel_path_t1 string, sentinel_path_t2 string")
+    out = pipelines.labeled_selection(pairs, sizes, pixels, {"train": 40, "test": 30}, 10, patch, stride)
+    # the raster of another size leaves its two pairs without patches
+    assert {r.pair_id for r in out["index_errors"].collect()} == {"D2_01", "D2_02"}
+    labeled = out["labeled"].collect()
+    per_pair = {}
+    for r in labeled:
+        per_pair[r.pair_id] = per_pair.get(r.pair_id, 0) + 1
+        a, b = (maps[i][r.y:r.y + patch, r.x:r.x + patch] for i in (r.image_id_t1, r.image_id_t2))
+        if "D3_2" in (r.image_id_t1, r.image_id_t2):
+            assert (r.label_status, r.label_error_message) == ("failed", "no pixels of raster D3_2")
+        else:
+            assert (r.valid_pixel_count, r.changed_pixel_count) == (patch * patch, (a != b).sum())
+    assert set(per_pair.values()) == {10} and len(per_pair) == 10
+    final = out["final"].collect()
+    assert final and {r.label_status for r in final} == {"success"} and len({r.patch_id for r in final}) == len(final)
+    assert {r.patch_id for r in final} <= {r.patch_id for r in labeled if r.label_status == "success"}
+
+
+def make_model():
+    def model(a, b, c):  # local, so that it reaches the workers by value
+        return (b - a).mean(axis=1) + c.sum(axis=1)
+
+    return model
+
+
+def test_evaluate_and_explain_end_to_end(spark):
+    rng, channels, n = np.random.default_rng(3), 2, 30
+    rows = []
+    for i in range(n):
+        a, b, t = rng.random(channels * 4), rng.random(channels * 4), rng.random(2) / 10
+        rows.append((f"p{i}", f"q{i % 4}", f"d{i % 3}", "test" if i % 3 else "train", ["low", "medium", "high"][i % 3], "cross_season_sameyear", "short",
+                     float(rng.random()), a.tolist(), b.tolist(), t.tolist()))
+    samples = spark.createDataFrame(rows, "patch_id string, pair_id string, district string, split string, change_class string, pair_type string, "
+                                          "time_gap_group string, change_ratio double, image_t1 array<double>, image_t2 array<double>, tabular array<double>")
+    index = samples.select("patch_id", F.concat(F.lit("/"), "patch_id").alias("npz_path"))
+    out = pipelines.evaluate_and_explain(samples, index, make_model(), channels, ["temp_t1", "rain_t2"], 6)
+    model = make_model()
+    want = {r[0]: model(*(np.array([x]) for x in r[8:11]))[0] for r in rows}
+    truth = {r[0]: r[7] for r in rows}
+    got = {r.patch_id: r.y_pred_change_ratio for r in out["predictions"].collect()}
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
+    metrics = out["metrics"].first()
+    assert np.isclose(metrics.mae, np.mean([abs(want[k] - truth[k]) for k in want])) and np.isclose(metrics.mse, np.mean([(want[k] - truth[k]) ** 2 for k in want]))
+    chosen = {r.patch_id for r in out["selected"].collect()}
+    assert len(chosen) == 6 and all(int(k[1:]) % 3 for k in chosen)
+    for name, item, number in (("bands", "band_index", channels), ("features", "feature_index", 2)):
+        found = out[name].collect()
+        assert {r.patch_id for r in found} == chosen and len({r[item] for r in found}) == number
+    assert out["band_summary"].count() == channels and out["feature_summary"].count() == 2
+    assert {r.patch_id for r in out["modalities"].collect()} == chosen
