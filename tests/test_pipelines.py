@@ -1,6 +1,11 @@
+import hashlib
+import random
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from pairscape.operators import greedy, pairs as pair_ops
 from pairscape.plans import pipelines
 
 SEASONS = ["Winter", "PreMonsoon", "Monsoon", "PostMonsoon"]
@@ -86,3 +91,64 @@ def test_evaluate_and_explain_end_to_end(spark):
         assert {r.patch_id for r in found} == chosen and len({r[item] for r in found}) == number
     assert out["band_summary"].count() == channels and out["feature_summary"].count() == 2
     assert {r.patch_id for r in out["modalities"].collect()} == chosen
+
+
+def constrained_model(rows, targets, reuse, fallback, seed):
+    """One pair after the other: quotas and turns first, then backfill, then a second try with the fallback limit."""
+    def digest(s, i):
+        return hashlib.md5(f"{s}|{i}".encode()).hexdigest()
+
+    def gap(years):
+        return "same_year" if years == 0 else "short" if years == 1 else "medium" if years <= 3 else "long" if years <= 6 else "very_long"
+
+    def select(split, limit):
+        mine = [(i, kind, gap(y), a, b) for i, s, kind, y, a, b in rows if s == split]
+        quota, target = pair_ops.type_quotas(targets[split]), targets[split]
+        cells = {}
+        for r in mine:
+            cells.setdefault((r[1], r[2]), []).append(r[0])
+        rank = {i: k for ids in cells.values() for k, i in enumerate(sorted(ids, key=lambda i: (digest(seed, i), i)))}
+
+        def turn(r):
+            sizes = {g: len(ids) for (kind, g), ids in cells.items() if kind == r[1]}
+            before = sum(min(n, rank[r[0]]) + (g < r[2] and n > rank[r[0]]) for g, n in sizes.items())
+            return (before + 1) / max(1, quota.get(r[1], 0)), r[1], r[0]
+
+        images, kinds, out = Counter(), Counter(), {}
+        for backfill, order in ((False, turn), (True, lambda r: (digest(seed + 1, r[0]), r[0]))):
+            for r in sorted(mine, key=order):
+                if r[0] in out or max(images[r[3]], images[r[4]]) >= limit or len(out) >= target or not (backfill or kinds[r[1]] < quota.get(r[1], 0)):
+                    continue
+                out[r[0]] = "backfill_reuse_limited" if backfill else f"target_{r[1]}_{r[2]}"
+                images[r[3]] += 1
+                images[r[4]] += 1
+                kinds[r[1]] += 1
+        return out, images, len(mine)
+
+    chosen = {}
+    for split, target in targets.items():
+        out, images, available = select(split, reuse)
+        relaxed = False
+        if len(out) < min(target, available):
+            again, more, _ = select(split, fallback)
+            if len(again) > len(out):
+                out, images, relaxed = again, more, True
+        ends = {r[0]: (r[4], r[5]) for r in rows}
+        chosen |= {i: (reason, images[ends[i][0]], images[ends[i][1]], relaxed) for i, reason in out.items()}
+    return chosen
+
+
+def test_constrained_pairs_equal_the_sequential_choice(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "BUCKET_ROWS", 60)
+    r, rows = random.Random(5), []
+    kinds = ["same_season_multiyear", "cross_season_sameyear", "cross_season_multiyear"]
+    for i in range(330):
+        split = "train" if i < 200 else "val" if i < 300 else "test"
+        a, b = r.sample(range({"train": 60, "val": 9, "test": 30}[split]), 2)
+        rows.append((f"k{i:03d}", split, r.choices(kinds, [5, 1, 3])[0], r.randrange(8), f"{split}{a}", f"{split}{b}"))
+    targets = {"train": 60, "val": 20, "test": 100}
+    pairs = spark.createDataFrame(rows, "pair_id string, split string, pair_type string, time_gap_years int, image_id_t1 string, image_id_t2 string")
+    got = pair_ops.constrained_pairs(pairs.repartition(3), targets, 3, 5, 42).collect()
+    want = constrained_model(rows, targets, 3, 5, 42)
+    found = {x.pair_id: (x.selected_reason, x.image_use_count_t1, x.image_use_count_t2, x.fallback_max_image_use_used) for x in got}
+    assert found == want and {v[3] for v in want.values()} == {True, False}
