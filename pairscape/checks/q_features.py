@@ -220,15 +220,20 @@ def _(t):
     return au.repair_paths(t.view("path_rows"), t.view("disk_files"), "/data")
 
 
+# the same repair over rows with classes and repeated ids
+CLASSED_REPAIR_SQL = REPAIR_SQL.replace("SELECT r.patch_id,", "SELECT r.patch_id, r.change_class,").replace("path_rows", "classed_rows")
+
+
 @query("R19_index_repair_report", "metric:s value:d",
-       f"""WITH r AS ({REPAIR_SQL}), c AS (SELECT * FROM r WHERE path_state <> 'dropped'), m(metric, value) AS (
+       f"""WITH r AS ({CLASSED_REPAIR_SQL}), c AS (SELECT * FROM r WHERE path_state <> 'dropped'), m(metric, value) AS (
            SELECT 'official_index_row_count', count(*)::DOUBLE FROM r UNION ALL SELECT 'cleaned_row_count', count(*) FROM c UNION ALL SELECT 'missing_path_rows_dropped', count(*) FROM r WHERE path_state = 'dropped'
            UNION ALL SELECT 'reconstructed_path_count', count(*) FROM r WHERE path_state = 'rebuilt' UNION ALL SELECT 'train_count', count(*) FROM c WHERE split = 'train'
            UNION ALL SELECT 'val_count', count(*) FROM c WHERE split = 'val' UNION ALL SELECT 'test_count', count(*) FROM c WHERE split = 'test'
+           UNION ALL SELECT v.class || '_count', count(c.patch_id) FROM (VALUES ('low'), ('medium'), ('high')) v(class) LEFT JOIN c ON c.change_class = v.class GROUP BY v.class
            UNION ALL SELECT 'duplicate_patch_id_count', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM c GROUP BY patch_id HAVING count(*) > 1) d UNION ALL SELECT 'missing_files_count', count(*) FROM c WHERE npz_path NOT IN (SELECT path FROM disk_files)
            UNION ALL SELECT 'extra_files_on_disk_count', count(*) FROM disk_files WHERE path NOT IN (SELECT npz_path FROM c) UNION ALL SELECT 'total_files_found', count(*) FROM disk_files) SELECT * FROM m""")
 def _(t):
-    return au.index_repair_report(t.view("path_rows"), t.view("disk_files"), "/data")
+    return au.index_repair_report(t.view("classed_rows"), t.view("disk_files"), "/data")
 
 
 @query("R19_store_report", REPORT,

@@ -189,6 +189,10 @@ VIEWS = {
                     ELSE concat('/data/', CASE page_id % 4 WHEN 0 THEN 'val' WHEN 1 THEN 'test' WHEN 2 THEN 'train' ELSE 'other' END,
                                 '/p', CAST(page_id AS STRING), '.npz') END AS npz_path, url
         FROM pages""",
+    "classed_rows": """
+        SELECT *, CASE page_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS change_class FROM path_rows
+        UNION ALL SELECT *, 'low' AS change_class FROM path_rows WHERE page_id % 17 IN (0, 4)
+        UNION ALL SELECT *, 'high' AS change_class FROM path_rows WHERE page_id % 17 = 4""",
     "disk_files": """
         SELECT concat('/data/', CASE page_id % 4 WHEN 0 THEN 'val' WHEN 1 THEN 'test' WHEN 2 THEN 'train' ELSE 'other' END,
                       '/p', CAST(page_id AS STRING), '.npz') AS path, CAST(page_id * 10 AS BIGINT) AS size
