@@ -64,7 +64,8 @@ class LengthClass:
     need: int
     items: list[int]
     places: np.ndarray
-    tables: list[dict[int, list[int]]]
+    #: for each walk and sample the distinct keys, where each one's items begin, and the items
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class ItemIndex:
@@ -98,14 +99,13 @@ class ItemIndex:
             c = LengthClass(shortest, max(1, shortest - 1 - 2 * int(tolerance * longest)), own, places, [])
             bit = np.uint64(1 << len(self.classes) % 64)
             for i in own:
-                self.pairs[self.pair_slots(self.items[i][1])] |= bit
+                self.pairs[self.pair_slots(self.items[i][1], np.arange(len(self.items[i][1]) - 1))] |= bit
             starts = np.cumsum([0] + [len(self.items[i][1]) + 1 for i in own])[:-1]
             flat = np.concatenate([np.append(self.items[i][1], 0) for i in own])
             for keys in self.keys(c, flat, starts):
-                table = defaultdict(list)
-                for i, k in zip(own, keys.tolist(), strict=True):
-                    table[k].append(i)
-                c.tables.append(dict(table))
+                by_key = np.argsort(keys, kind="stable")
+                distinct, cuts = np.unique(keys[by_key], return_index=True)
+                c.tables.append((distinct, np.append(cuts, len(keys)), np.array(own, np.int64)[by_key]))
             self.classes.append(c)
 
     @staticmethod
@@ -127,8 +127,9 @@ class ItemIndex:
                 yield key
 
     @staticmethod
-    def pair_slots(words: np.ndarray) -> np.ndarray:
-        h = mixed(words[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[1:].astype(np.uint64))
+    def pair_slots(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The slots of the pairs of neighbouring words that begin at ``at``."""
+        h = mixed(words[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words[at + 1].astype(np.uint64))
         return (h & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
 
     @staticmethod
@@ -153,22 +154,29 @@ class ItemIndex:
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int]]:
         """(item, start) where a window of ``words`` (vocabulary ids, 0 for other words) shares a key with an item."""
-        if len(words) < 2:
-            return []
-        pairs = self.pairs[self.pair_slots(words)]
-        pairs[(words[:-1] == 0) | (words[1:] == 0)] = 0
-        out = set()
+        there = np.flatnonzero((words[:-1] != 0) & (words[1:] != 0))
+        bits = self.pairs[self.pair_slots(words, there)]
+        there, bits = there[bits != 0], bits[bits != 0]
+        found = []
         for number, c in enumerate(self.classes):
-            known = np.concatenate([[0], np.cumsum((pairs >> np.uint64(number % 64)) & np.uint64(1), dtype=np.int64)])
-            # a window may run past the end of the text by the words an edit may drop
-            ends = np.minimum(np.arange(len(words)) + c.shortest - 1, len(pairs))
-            starts = np.flatnonzero(known[ends] - known >= c.need)
+            known = there[(bits >> np.uint64(number % 64)) & np.uint64(1) != 0]
+            # windows with ``need`` pairs: those that begin at or before a pair and reach the one ``need`` - 1 behind it
+            first, last = known[: max(0, len(known) - c.need + 1)], known[c.need - 1 :]
+            low = np.maximum(last - c.shortest + 2, 0)
+            low[1:] = np.maximum(low[1:], first[:-1] + 1)
+            size = np.maximum(first - low + 1, 0)
+            starts = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
             if len(starts):
-                for table, keys in zip(c.tables, self.keys(c, words, starts), strict=True):
-                    for s, k in zip(starts.tolist(), keys.tolist(), strict=True):
-                        for i in table.get(k, ()):
-                            out.add((i, s))
-        return sorted(out)
+                for (known_keys, cuts, items), keys in zip(c.tables, self.keys(c, words, starts), strict=True):
+                    place = np.minimum(np.searchsorted(known_keys, keys), len(known_keys) - 1)
+                    at = np.flatnonzero(known_keys[place] == keys)
+                    count = (cuts[1:] - cuts[:-1])[place[at]]
+                    which = np.repeat(cuts[place[at]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    found.append(items[which] * len(words) + np.repeat(starts[at], count))
+        if not found:
+            return []
+        each = np.unique(np.concatenate(found))
+        return list(zip((each // len(words)).tolist(), (each % len(words)).tolist(), strict=True))
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, word behind the last, distance) of the nearest stretch of each item found in a text."""
@@ -185,6 +193,9 @@ class ItemIndex:
             most, best = int(self.tolerance * len(item)), None
             for g in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > len(item)) + 1):
                 lo, hi = max(0, g[0] - len(item) // 2), min(len(words), g[-1] + len(item) + len(item) // 2)
+                # an edit breaks two pairs of neighbouring words of the item at most
+                if kept_pairs(item, words[lo:hi]) < len(item) - 1 - 2 * most:
+                    continue
                 d, a, b = nearest_stretch(item, words[lo:hi])
                 if d <= most and (best is None or (d, lo + a) < best[:2]):
                     best = (d, lo + a, lo + b)
@@ -205,6 +216,11 @@ def _last_row(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
+def kept_pairs(item: np.ndarray, text: np.ndarray) -> int:
+    """How many pairs of neighbouring words of ``item`` stand in ``text``."""
+    return int(np.isin(item[:-1] << 32 | item[1:], text[:-1] << 32 | text[1:]).sum())
+
+
 def nearest_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """The smallest edit distance of ``item`` to a stretch of ``text``, and the first such stretch [start, stop)."""
     row = _last_row(item, text)
