@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from operator import add
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import list_column, text_batches
+from .common import list_column, runs, text_batches
 
 WORD_BPE = "word_bpe_49k.json"
 #: Strings whose ids a worker remembers in each of two generations.
 REMEMBERED = 200_000
+#: Characters of texts whose words are looked up and encoded together; their strings stay in the processor's cache.
+TOGETHER = 1 << 18
 
 #: In texts of these characters, lower() and the pattern below do what the library does: they are in NFC and one to one.
 _LATIN = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -43,21 +45,30 @@ def byte_characters() -> list[str]:
 
 
 class Remembered(dict):
-    """Values of a function by key; keeps what was asked for among the last keys, at most two generations of them."""
+    """Values by key of a function of several keys; keeps what was asked for among the last keys, in two generations."""
 
-    def __init__(self, function: Callable):
+    def __init__(self, function: Callable[[list[str]], Iterable[bytes]]):
         super().__init__()
         self.function, self.old = function, {}
 
-    def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+    def of(self, keys: list[str]) -> list[bytes]:
+        """The values of ``keys``; the function is called once, with the distinct keys that are not remembered."""
+        values = [*map(self.get, keys)]
+        if None not in values:
+            return values
+        missed = [i for i, v in enumerate(values) if v is None]
+        wanted = dict.fromkeys([keys[i] for i in missed])
+        if len(self) + len(wanted) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.function(key)
-        self[key] = value
-        return value
+        old = self.old
+        wanted.update((k, old[k]) for k in wanted if k in old)
+        new = [k for k, v in wanted.items() if v is None]
+        wanted.update(zip(new, self.function(new), strict=True))
+        self.update(wanted)
+        for i in missed:
+            values[i] = wanted[keys[i]]
+        return values
 
 
 class ForcedBoundaryBPE:
@@ -79,25 +90,28 @@ class ForcedBoundaryBPE:
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{white}\p{{L}}\p{{N}}]"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         bare = [t.removesuffix(self.suffix) if self.suffix else t for t in self.vocabulary]
-        self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
         self.bytes = byte_characters()
-        self.fragments = Remembered(self.merge)
-        self.words = Remembered(self.word)
-        self.chunks = Remembered(self.chunk)
-
-    def cut(self, word: str) -> list[str]:
-        """The fragments between forced boundaries."""
-        if self.inside.issuperset(map(add, word, word[1:])):
-            return [word]
-        out, at = [], 0
-        for i in range(len(word) - 1):
-            if word[i : i + 2] not in self.inside:
-                out.append(word[at : i + 1])
-                at = i + 1
-        out.append(word[at:])
-        return out
-
-    def merge(self, fragment: str) -> list[int]:
+        self.byte = byte = {c: i for i, c in enumerate(self.bytes)}
+        #: by two neighbouring bytes: no token has them, so they are a certain cut
+        self.cuts = np.ones((256, 256), bool)
+        inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
+        known = np.array([(byte[p[0]], byte[p[1]]) for p in inside if p[0] in byte and p[1] in byte]).reshape(-1, 2)
+        self.cuts[known[:, 0], known[:, 1]] = False
+        self.written = np.array([ord(c) for c in self.bytes], "<u2")
+        self.inner = Remembered(lambda parts: map(self.merge, parts))
+        self.last = Remembered(lambda parts: map(self.merge_last, parts))
+        self.chunks = Remembered(self.encode_chunks)
+
+    def cut(self, words: list[str]) -> list[str]:
+        """Each word in byte characters with a space at every forced boundary; one look at all neighbouring bytes."""
+        flat = np.frombuffer("\n".join(words).encode(), np.uint8)
+        signs = self.written[flat]
+        signs[flat == 10] = 10  # byte characters are no white space: it parts words and fragments here
+        here = self.cuts[flat[:-1], flat[1:]] & (signs[:-1] != 10) & (signs[1:] != 10)
+        signs = np.insert(signs, np.flatnonzero(here) + 1, 32)
+        return signs.tobytes().decode("utf-16-le").split("\n")
+
+    def merge(self, fragment: str) -> bytes:
         """The ids of one fragment without suffix: the pair of lowest rank is joined, the first one at ties, until none is left."""
         parts = list(fragment)
         ranks, none = self.ranks, len(self.ranks)
@@ -108,40 +122,76 @@ class ForcedBoundaryBPE:
                 break
             i = found.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.vocabulary[p] for p in parts if p in self.vocabulary]
-
-    def chunk(self, raw: str) -> bytes:
-        """The ids of a lower-cased text without white space, as little-endian 32-bit integers."""
-        return b"".join([self.words[w] for w in self.pattern.findall(raw)])
-
-    def word(self, raw: str) -> bytes:
-        return array("i", self.written(raw if raw.isascii() else "".join([self.bytes[b] for b in raw.encode()]))).tobytes()
-
-    def written(self, word: str) -> list[int]:
-        """The ids of one word in byte characters."""
-        *inner, last = self.cut(word)
-        out: list[int] = []
-        for part in inner:
-            out += self.fragments[part]
-        # the library's merge loop appends the suffix, so it takes the fragment at the word's end
-        return out + [t.id for t in self.library.model.tokenize(last)]
+        return array("i", [self.vocabulary[p] for p in parts if p in self.vocabulary]).tobytes()
+
+    def merge_last(self, fragment: str) -> bytes:
+        """The ids of the fragment at a word's end: the library's merge loop appends the suffix."""
+        return array("i", [t.id for t in self.library.model.tokenize(fragment)]).tobytes()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers; distinct fragments are encoded once."""
+        cut = self.cut(words)
+        last = self.last.of([w[w.rfind(" ") + 1 :] for w in cut])
+        several = [i for i, w in enumerate(cut) if " " in w]
+        parts: list[str] = []
+        for i in several:
+            parts += cut[i].split(" ")[:-1]
+        inner = iter(self.inner.of(parts))
+        for i in several:
+            last[i] = b"".join([*islice(inner, cut[i].count(" ")), last[i]])
+        return last
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each lower-cased string without white space."""
+        flat, counts = [], []
+        for c in chunks:
+            if c.isalpha():  # one word
+                flat.append(c)
+                counts.append(1)
+            else:
+                words = self.pattern.findall(c)
+                flat += words
+                counts.append(len(words))
+        ids = iter(self.encode_words(flat) if flat else ())
+        return [next(ids) if n == 1 else b"".join(islice(ids, n)) for n in counts]
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text without added special tokens; their own strings in a text are special, as in the library."""
-        if not text:
-            return np.zeros(0, np.int32)
-        parts = self.specials.split(text) if self.specials and "<|" in text else [text]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text (see :meth:`encode`); their new words are encoded together."""
+        out: list[np.ndarray] = []
+        for a, b in runs(texts, TOGETHER):
+            split = [t.lower().split() if t and self.plain(t) else None for t in texts[a:b]]
+            flat = [c for s in split if s for c in s]
+            ids = [i for k in range(0, len(flat), REMEMBERED) for i in self.chunks.of(flat[k : k + REMEMBERED])]
+            at = 0
+            for t, s in zip(texts[a:b], split, strict=True):
+                if s is None:
+                    out.append(np.frombuffer(self.encode_other(t) if t else b"", np.int32))
+                else:
+                    out.append(np.frombuffer(b"".join(ids[at : at + len(s)]), np.int32))
+                    at += len(s)
+        return out
+
+    def plain(self, text: str) -> bool:
+        """Whether lower() and the pattern do what the library does, and no special token is written in ``text``."""
+        return _LATIN.search(text) is None and (self.specials is None or "<|" not in text or self.specials.search(text) is None)
+
+    def encode_other(self, text: str) -> bytes:
+        """The ids of a text that :meth:`plain` refuses, with the library's normaliser and pre-tokeniser where they are needed."""
         out: list[bytes] = []
-        for part in parts:
+        for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
                 out.append(array("i", [self.special[part]]).tobytes())
-            elif _LATIN.search(part) is None:  # no word of the pattern crosses white space
-                out.append(b"".join(map(self.chunks.__getitem__, part.lower().split())))
+            elif part and _LATIN.search(part) is None:  # no word of the pattern crosses white space
+                out += self.chunks.of(part.lower().split())
             elif part:
-                plain = self.library.normalizer.normalize_str(part)
-                for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
-                    out.append(array("i", self.written(w)).tobytes())
-        return np.frombuffer(b"".join(out), np.int32)
+                normal = self.library.normalizer.normalize_str(part)
+                words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                out += self.encode_words([bytes(map(self.byte.__getitem__, w)).decode() for w in words]) if words else []
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         """What the library's decode gives for a file without decoder: the tokens joined by spaces, special ones included."""
@@ -159,7 +209,7 @@ def encode_column(text, tokenizer: str = WORD_BPE):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = _loaded(tokenizer)
         for batch in batches:
-            yield pd.Series([bpe.encode(t) for t in batch], dtype=object)
+            yield pd.Series(bpe.encode_all(list(batch)), dtype=object)
 
     return F.pandas_udf(encode, "array<int>", F.PandasUDFType.SCALAR_ITER)(text)
 
@@ -185,7 +235,7 @@ def bpe_roundtrip(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(tokenizer)
         for batch, texts in text_batches(batches):
-            ids = [bpe.encode(t) for t in texts]
+            ids = bpe.encode_all(texts)
             decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(ids, pa.int32()), decoded], ["doc_id", "ids", "decoded"])
 

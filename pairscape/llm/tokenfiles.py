@@ -90,7 +90,7 @@ def encoded(docs: DataFrame, end_id: int, tokenizer: str = WORD_BPE) -> DataFram
         bpe = _loaded(tokenizer)
         kind = np.uint16 if max(max(bpe.tokens), end_id) < 1 << 16 else np.uint32
         for batch, texts in text_batches(batches):
-            ids = [np.append(bpe.encode(t), end_id).astype(kind) for t in texts]
+            ids = [np.append(i, end_id).astype(kind) for i in bpe.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.dtype.itemsize for i in ids], pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_tokens long, width int, ids binary")
@@ -102,8 +102,10 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(ID_SLOTS, np.uint64)
         for batch in batches:
-            for width, data in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-                n = np.bincount(np.frombuffer(data.as_buffer(), np.uint16 if width == 2 else np.uint32))
+            widths = batch.column("width").to_numpy()
+            for width, kind in ((2, np.uint16), (4, np.uint32)):
+                data = b"".join(batch.column("ids").filter(pa.array(widths == width)).to_pylist())
+                n = np.bincount(np.frombuffer(data, kind))  # all documents of a batch at once
                 table[: len(n)] += n.astype(np.uint64)
         yield from packed_chunks(table)
 
