@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as au, tabular as tb
 from ..plans import reports as rp
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .q_functions import FEATURE_NAMES
 from .q_rasters import REPORT, counts_sql, metrics_sql
 from .q_tables import BASE_FEATURES, COUNTS, ENDPOINT_SQL, MODEL_COLS, STATS_SQL, features_df, seasonal_df
@@ -25,7 +25,7 @@ MISSING_SQL = f"""
 
 
 def flagged_df(t):
-    return cut_lineage(tb.pair_features(t.view("pairs"), seasonal_df(t)))
+    return stored(tb.pair_features(t.view("pairs"), seasonal_df(t)))
 
 
 @query("R7_missing_tabular_report", "report_type:s split:s pair_type:s district:s year:i season:s timepoint:s count:i", MISSING_SQL)
@@ -112,7 +112,7 @@ def _(t):
 @query("A22_verify_train_stats", "feature:s mismatch:b",
        STATS_SQL + "SELECT feature, feature LIKE '%!_ratio' ESCAPE '!' OR feature LIKE '%between' AS mismatch FROM stats")
 def _(t):
-    feats = cut_lineage(features_df(t))
+    feats = stored(features_df(t))
     stored = cut_lineage(tb.train_stats(feats)).filter(~F.col("feature").endswith("between")).withColumn(
         "mean", F.when(F.col("feature").endswith("_ratio"), F.col("mean") + 1).otherwise(F.col("mean"))
     )
@@ -164,7 +164,7 @@ def _(t):
 @query("R18_audit_status", "status:s",
        f"SELECT CASE WHEN count(*) FILTER (WHERE tabular_any_missing) > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM ({ENDPOINT_SQL}) e")
 def _(t):
-    feats = cut_lineage(features_df(t))
+    feats = stored(features_df(t))
     cols = tb.model_features(feats)
     stats = cut_lineage(tb.train_stats(feats, cols))
     scaled = tb.impute_scale(feats, stats, cols)
