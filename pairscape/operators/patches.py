@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn
-from ..session import stored
 
 # Default patch geometry, the valid-pixel limit, messages.
 PATCH, STRIDE, CHANNELS = 128, 64, 13
@@ -102,67 +101,44 @@ def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42) -
     """At most ``max_per_pair`` patches per pair, round-robin over coarse spatial bins.
 
     Bins are visited in text order of ``x_y``, hash order inside a bin. The k-th
-    row of every bin comes before the (k+1)-th of any: with n_b rows in bin b,
-    the turn of row r of bin b is Σ min(n_b', r) plus the earlier bins that
-    still have a row, so the sizes of a pair's bins (at most ceil(sqrt(max))² of
-    them) say how many rows each bin gives, and no whole pair is ordered.
-    ``patches`` is worked out twice: for the narrow rows, which are written
-    once and ranked in parts of a bin, and for the join of the full rows to the
-    chosen ids. A repeated patch id stops the job.
+    row of every bin comes before the (k+1)-th of any, and only the first
+    ``max_per_pair`` of a bin can have a turn. The rows are shuffled once by
+    pair, for its extent, its bins and its turns alike (a pair's patches are the
+    grid of one raster), and the sampled ones once by their id: a repeated patch
+    id stops the job. ``patches`` is worked out once and nothing is written.
     """
     if max_per_pair <= 0:
         raise ValueError("max_per_pair must be positive")
     per_axis = max(1, math.ceil(math.sqrt(max_per_pair)))
     half = F.col("patch_size").cast("double") / 2
-    narrow = stored(patches.select("patch_id", "pair_id", "x", "y", "patch_size"))
-    centered = narrow.select(
-        "patch_id", "pair_id", (F.col("x").cast("double") + half).alias("patch_center_x"), (F.col("y").cast("double") + half).alias("patch_center_y")
-    )
-    span = centered.groupBy("pair_id").agg(
-        F.count(F.lit(1)).alias("sampled_from_total_pair_patches"),
-        *[f(f"patch_center_{a}").alias(f"__{n}_{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))],
-    )
+    pair = Window.partitionBy("pair_id")
+    centered = patches.filter(F.col("pair_id").isNotNull()).withColumns({
+        f"patch_center_{a}": F.col(a).cast("double") + half for a in "xy"
+    })
+    spanned = centered.withColumns({
+        "sampled_from_total_pair_patches": F.count(F.lit(1)).over(pair),
+        **{f"__{n}_{a}": f(f"patch_center_{a}").over(pair) for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))},
+    })
 
     def bin_of(a: str) -> Column:
         lo, hi, v = F.col(f"__lo_{a}"), F.col(f"__hi_{a}"), F.col(f"patch_center_{a}")
         scaled = F.try_divide(v - lo, hi - lo) * per_axis
         return F.coalesce(F.least(F.greatest(F.floor(scaled), F.lit(0)), F.lit(per_axis - 1)), F.lit(0)).cast("string")
 
-    hashed = fn.hash_key(seed, "patch_id")
-    binned = stored(centered.join(span, "pair_id").select(
-        "patch_id", "pair_id", "patch_center_x", "patch_center_y", "sampled_from_total_pair_patches",
-        F.concat_ws("_", bin_of("x"), bin_of("y")).alias("__bin"), hashed.alias("__h"), F.left(hashed, F.lit(1)).alias("__part"),
-    ))
-    box, part = ["pair_id", "__bin"], ["pair_id", "__bin", "__part"]
-    counts = binned.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*box).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select(*part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    # how many rows of each bin get a turn: a question of the sizes of the pair's bins alone
-    bins = counts.groupBy(*box).agg(F.sum("__n").alias("n")).groupBy("pair_id").agg(
-        F.collect_list(F.struct(F.col("__bin").alias("b"), "n")).alias("__bins"), F.sum("n").alias("__all")
-    )
-
-    def turn(r: Column, own: Column) -> Column:
-        return F.aggregate("__bins", F.lit(0).cast("bigint"), lambda acc, s: acc + F.least(s["n"], r) + ((s["b"] < own["b"]) & (s["n"] > r)).cast("bigint"))
-
-    share = F.transform("__bins", lambda own: F.struct(own["b"].alias("__bin"), F.when(F.col("__all") <= max_per_pair, own["n"]).otherwise(
-        F.size(F.filter(F.sequence(F.lit(0), F.lit(max_per_pair - 1)), lambda r: (r < own["n"]) & (turn(r, own) < max_per_pair)))
-    ).alias("__take")))
-    quota = bins.select("pair_id", F.inline(share))
-    open_parts = begins.join(quota, box).filter(F.col("__before") < F.col("__take"))
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("__h", "patch_id"))
-    kept = binned.withColumn("__r", place).join(open_parts, part).filter(F.col("__before") + F.col("__r") <= F.col("__take"))
+    binned = spanned.withColumns({"__bin": F.concat_ws("_", bin_of("x"), bin_of("y")), "__h": fn.hash_key(seed, "patch_id")})
+    place = F.row_number().over(Window.partitionBy("pair_id", "__bin").orderBy("__h", "patch_id"))
+    firsts = binned.withColumn("__r", place).filter(F.col("__r") <= max_per_pair)
+    turn = F.row_number().over(pair.orderBy("__r", "__bin"))
+    kept = firsts.withColumn("__turn", turn).filter(F.col("__turn") <= max_per_pair)
     total = F.col("sampled_from_total_pair_patches")
     twice = F.row_number().over(Window.partitionBy("patch_id").orderBy("pair_id")) > 1
-    checked = kept.withColumn(
+    checked = kept.select(
+        *patches.columns, "patch_center_x", "patch_center_y", "sampled_from_total_pair_patches",
+        (F.least(total, F.lit(max_per_pair)) / total).alias("pair_sampling_ratio"),
+    ).withColumn(
         "patch_id", F.when(twice, F.raise_error(F.lit("sampled patch ids are not unique")).cast("string")).otherwise(F.col("patch_id"))
     )
-    ratio = F.least(total, F.lit(max_per_pair)) / total
-    marks = checked.select(
-        "patch_id", "pair_id", "patch_center_x", "patch_center_y", "sampled_from_total_pair_patches",
-        ratio.alias("pair_sampling_ratio"),
-    )
-    return patches.join(marks, ["patch_id", "pair_id"])
+    return checked.filter(F.col("patch_id").isNotNull())
 
 
 def _labels(valid: Column, changed: Column, total: Column, minimum: float) -> dict[str, Column]:

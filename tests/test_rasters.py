@@ -63,6 +63,15 @@ def test_spatial_sample(spark, most):
             pt.spatial_sample(df.unionByName(df), most).collect()
 
 
+def test_spatial_sample_shuffles_patches_twice(spark):
+    """Once by pair and once by id, and a copy of a sampled row does not come along."""
+    kind = "patch_id string, x int, y int, pair_id string, patch_size int"
+    one = spark.createDataFrame([("p", 0, 0, "a", 128)] * 2, kind)
+    sampled = pt.spatial_sample(one, 1)
+    assert sampled._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert [(r.patch_id, r.sampled_from_total_pair_patches) for r in sampled.collect()] == [("p", 2)]
+
+
 def test_labels_against_numpy_and_pixels(spark):
     rng = np.random.default_rng(3)
     maps = {i: (rng.integers(0, 3, (8, 8)).astype(float), rng.integers(0, 3, (8, 8)).astype(float)) for i in range(5)}
