@@ -7,7 +7,6 @@ from ..operators import inventory as inv, patches as pt
 from ..operators.greedy import diverse_files
 from ..operators.ranking import first_by_key, last_by_key
 from ..plans import reports as rp
-from ..session import stored
 from .registry import query
 
 FIRST_A = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY full_path, seq) AS rn FROM sensor_a WHERE image_id IS NOT NULL) v WHERE rn = 1)"
@@ -468,7 +467,7 @@ def sampling_sql() -> str:
        sampling_sql() + "SELECT s.pair_id, split, district, s.n AS original_patch_count, k AS sampled_patch_count, k / CAST(s.n AS DOUBLE) AS sampling_ratio "
        "FROM span s JOIN meta m ON m.pair_id = s.pair_id JOIN took t ON t.pair_id = s.pair_id")
 def _(t):
-    full = stored(index_df(t))
+    full = index_df(t)
     return rp.per_pair_sampling(full, pt.spatial_sample(full, 8))
 
 
@@ -479,8 +478,8 @@ def _(t):
                      min_original_patches_per_pair="min(n)", max_original_patches_per_pair="max(n)", mean_original_patches_per_pair="avg(n)")
        + " UNION ALL " + counts_sql("smp", **{f"sampled_by_{c}": c for c in ("split", "district", "pair_type", "time_gap_group")}))
 def _(t):
-    full = stored(index_df(t))
-    return rp.sampling_report(full, stored(pt.spatial_sample(full, 8)))
+    full = index_df(t)
+    return rp.sampling_report(full, pt.spatial_sample(full, 8))
 
 
 @query("J14_attach_labels", "patch_id:s label_status:s change_class:s change_ratio:d label_error_message:s",

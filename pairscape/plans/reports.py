@@ -6,24 +6,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import functions as fn
 from ..operators.ranking import exact_quantiles, top_k
+from ..session import stored
 
 SPLIT_COUNTS = ("split", "district", "pair_type", "time_gap_group")
 
 
 def long_report(
-    df: DataFrame, metrics: dict[str, Column], counts: dict[str, object], metric_type: str = "metric"
+    df: DataFrame, metrics: dict[str, Column], counts: dict[str, object], metric_type: str = "metric",
+    weight: str | None = None,
 ) -> DataFrame:
     """(summary_type, value, count): single-value metrics and value counts.
 
     ``counts`` maps a summary type to a column (name or expression). Everything
     comes from one scan: a grouping set per count column and the empty set for
-    the metrics. Null values are skipped.
+    the metrics. Null values are skipped. ``weight`` names a column that says how
+    many rows a row stands for.
     """
     dims = [f"__d{i}" for i in range(len(counts))]
     metric_cols = {f"__m{i}": m for i, m in enumerate(metrics.values())}
     cols = [fn.as_col(c).cast("string").alias(d) for d, c in zip(dims, counts.values())]
     base = df.select("*", *cols)
-    aggs = [F.count(F.lit(1)).alias("__n"), *[m.cast("double").alias(a) for a, m in metric_cols.items()]]
+    aggs = [(F.sum(weight) if weight else n_rows()).alias("__n"), *[m.cast("double").alias(a) for a, m in metric_cols.items()]]
     entry = "array<struct<summary_type:string,value:string,count:double>>"
     rows = F.array(*[
         F.struct(F.lit(metric_type).alias("summary_type"), F.lit(n).alias("value"), F.col(a).alias("count"))
@@ -292,11 +295,15 @@ def patch_report(pairs: DataFrame, patches: DataFrame, errors: DataFrame, patch_
 
 def per_pair_sampling(full: DataFrame, sampled: DataFrame) -> DataFrame:
     """Original and sampled patches per pair, 0 for a pair without samples."""
+    return _beside_sampled(full, per_pair_counts(sampled, "n"))
+
+
+def _beside_sampled(full: DataFrame, taken: DataFrame) -> DataFrame:
     meta = [c for c in ("split", "district", "pair_type", "time_gap_group") if c in full.columns]
     before = full.groupBy("pair_id").agg(
         n_rows().alias("original_patch_count"), F.min_by(F.struct(*meta), "patch_id").alias("m")
     )
-    joined = before.join(per_pair_counts(sampled, "n"), "pair_id", "left")
+    joined = before.join(taken, "pair_id", "left")
     n = F.coalesce("n", F.lit(0))
     return joined.select(
         "pair_id", "m.*", "original_patch_count", n.alias("sampled_patch_count"),
@@ -305,8 +312,13 @@ def per_pair_sampling(full: DataFrame, sampled: DataFrame) -> DataFrame:
 
 
 def sampling_report(full: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Full against sampled: totals, ratio, patches per pair, and counts by four columns."""
-    pairs = per_pair_sampling(full, sampled)
+    """Full against sampled: totals, ratio, patches per pair, and counts by four columns.
+
+    ``sampled`` is worked out once: its numbers by pair and the four columns are
+    written and serve both parts.
+    """
+    counted = stored(sampled.groupBy("pair_id", *SPLIT_COUNTS).agg(n_rows().alias("n")))
+    pairs = _beside_sampled(full, counted.groupBy("pair_id").agg(F.sum("n").alias("n")))
     kept = F.when(F.col("sampled_patch_count") > 0, F.col("sampled_patch_count"))
     before = F.col("original_patch_count")
     total, taken = F.coalesce(F.sum(before), F.lit(0)), F.coalesce(F.sum(kept), F.lit(0))
@@ -318,7 +330,7 @@ def sampling_report(full: DataFrame, sampled: DataFrame) -> DataFrame:
         for how, f in (("min", F.min), ("max", F.max), ("mean", F.avg)):
             values[f"{how}_{label}_patches_per_pair"] = F.coalesce(f(col), F.lit(0))
     return long_report(pairs, values, {}).unionByName(
-        long_report(sampled, {}, {f"sampled_by_{c}": c for c in SPLIT_COUNTS})
+        long_report(counted, {}, {f"sampled_by_{c}": c for c in SPLIT_COUNTS}, weight="n")
     )
 
 
