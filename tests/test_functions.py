@@ -120,3 +120,17 @@ def test_required_columns(spark):
         fn.check_columns(df, ["a", "c"])
     with pytest.warns(UserWarning):
         assert fn.check_columns(df, ["d", "c"], strict=False) == ["c", "d"]
+
+
+def test_parts_of_a_name_are_worked_out_once(spark):
+    """A pattern stands once in the plan, not once in each field that reads its match."""
+    names = spark.createDataFrame([("S2_30m_2020_Winter_coxs bazar.tif",), ("P1_x64_y128_o5",), ("none",), (None,)], "n string")
+
+    def patterns(df):
+        return df._jdf.queryExecution().analyzed().toString().count("regexp_extract(")
+
+    parsed, places = names.select(fn.parse_raster_name("n").alias("p")), names.select(fn.patch_xy("n").alias("p"))
+    assert patterns(places) == 1 and patterns(parsed) == 3
+    assert [r.p for r in places.collect()] == [None, (64, 128), None, None]
+    first = parsed.first().p
+    assert (first.sensor, first.year, first.season, first.district, first.parse_status) == ("S2", 2020, "Winter", "Coxs_Bazar", "success")
