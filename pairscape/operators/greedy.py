@@ -7,7 +7,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from ..session import cut_lineage, shared_folder
+from ..session import cut_lineage, shared_folder, stored
 
 #: Rows of a bucket of the order, about, and at most of what one task decides in sequence.
 BUCKET_ROWS = 1 << 16
@@ -87,7 +87,8 @@ def capped_selection(
     rows = df.select(key, *rest, entries.alias("__entries")).filter(
         F.forall("__entries", lambda e: e["resource"].isNotNull() & F.coalesce(e["cap"] > 0, F.lit(False)))
     )
-    sizes = _bucketed(rows, [*rest, key], f"{folder}/rows")
+    # counted, sampled for the bounds and dealt: ``df`` is worked out once for all three
+    sizes = _bucketed(stored(rows), [*rest, key], f"{folder}/rows")
     base = spark.read.parquet(f"{folder}/rows")
     kind = base.select(key, *rest, "__entries", "__bucket").schema
     caps = base.select(F.get("__entries", F.lit(total or 0)).alias("e")).groupBy("e.resource").agg(F.max("e.cap").alias("cap"))
