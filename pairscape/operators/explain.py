@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import functions as fn
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .ranking import beside, exact_quantiles, first_by_key, last_by_key, top_k
 
 # Ablation variants, contribution columns, stage values and texts.
@@ -435,6 +435,8 @@ def handoff_samples(pred: DataFrame, index: DataFrame, n: int = 200, seed: int =
     if "abs_error" in slim.columns:
         for stage, (reason, pool) in zip((4, 5), _extreme(slim, "abs_error", per * 2).items()):
             staged = staged.unionByName(_by_hash(pool.drop("place"), [_offer(stage, reason, per)], per, seed))
+    # a few rows a stage, read by the choice and by the fill
+    staged = stored(staged)
     hashed = slim.select("patch_id", fn.hash_key(seed, F.lit("fill"), "patch_id").alias("sort_text"))
     fill = hashed.join(staged.select("patch_id").distinct(), "patch_id", "left_anti").orderBy("sort_text", "patch_id").limit(int(n)).select(
         "patch_id", F.lit(9).alias("stage"), "sort_text", F.lit(0).alias("place"), F.lit("random_fill").alias("reason")
