@@ -476,13 +476,17 @@ def distribution_report(original: DataFrame, final: DataFrame, columns=("change_
 
 
 def removed_summary(original: DataFrame, final: DataFrame, top: int = 50) -> DataFrame:
-    """Totals and the most frequent values of the removed patches."""
+    """Totals and the most frequent values of the removed patches.
+
+    ``final`` is worked out once: its ids are written for both of their readers.
+    """
     from ..operators.selection import removed_rows
 
     kinds = {
         "top_removed_district": "district", "removed_change_class": "change_class", "removed_pair_type": "pair_type",
         "removed_time_gap_group": "time_gap_group", "top_removed_pair_id": "pair_id",
     }
+    final = stored(final.select("patch_id"))
     removed = long_report(removed_rows(original, final), {"removed_count": n_rows()}, kinds)
     best = top_k(removed.filter(F.col("summary_type") != "metric"), ["summary_type"], [F.desc("count"), "value"], top)
     return (

@@ -42,3 +42,36 @@ def test_scaling_does_not_shuffle_the_wide_table(spark):
     stats = spark.createDataFrame([("a", 1.0, 0.0, 2.0)], "feature string, median double, mean double, scale double")
     text = plan(tb.impute_scale(df, stats, ["a"]))
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forward_pairs_are_not_shuffled_by_id(spark):
+    from pairscape.operators.pairs import forward_pairs
+
+    rows = [("a", "train", 2019 + y, "Winter", f"i{y}{k}") for y in range(3) for k in range(2)]
+    images = spark.createDataFrame(rows, "district string, split string, year int, season string, image_id string")
+    pairs = forward_pairs(images)
+    assert "hashpartitioning(pair_id" not in plan_of(pairs)
+    got = sorted(r.pair_id for r in pairs.collect())
+    assert len(got) == 12 and len(set(got)) == 12 and "a_2019_Winter_to_2020_Winter_4" in got
+
+
+def test_dense_grid_and_removed_summary_read_their_input_once(spark):
+    from pairscape.operators.evaluation import dense_grid
+    from pairscape.plans.reports import removed_summary
+
+    mark = F.concat(F.lit("mark-"), "pair_id")
+    kind = "patch_id string, district string, pair_id string, value double, change_class string, pair_type string, time_gap_group string"
+    rows = [("a_x0_y0", "d", "p", 1.0, "low", "t", "g"), ("b_x0_y0", "d", "p", None, "low", "t", "g"), ("c_x64_y64", "d", "p", None, "high", "t", "g")]
+    df = spark.createDataFrame(rows, kind).withColumn("pair_id", mark)
+    grid = dense_grid(df, "value")
+    assert "mark-" not in plan_of(grid)
+    assert sorted((r.x, r.y, r.x_end, r.y_end, r.value) for r in grid.collect()) == [
+        (0, 0, 64, 64, 1.0), (0, 64, 64, 192, None), (64, 0, 192, 64, None), (64, 64, 192, 192, None)]
+    removed = removed_summary(df.withColumn("pair_id", F.lit("p")), df.filter("value = 1").withColumn("patch_id", F.concat(F.lit(""), "patch_id")))
+    assert "value = 1.0" not in plan_of(removed)
+    assert {r["value"]: r["count"] for r in removed.collect() if r.summary_type == "metric"} == {
+        "removed_count": 2.0, "valid_original_count": 3.0, "final_count": 1.0}
