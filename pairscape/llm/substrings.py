@@ -14,8 +14,8 @@ in the original text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -36,7 +36,8 @@ FILTER_BITS = 26
 
 _OUTER = ".,;:!?…\"'`()[]{}<>*#$%&|-–—«»„“”‚‘’"
 _SENTENCE_END = (".", "!", "?", "…")
-_WORD = re.compile(r"\S+")
+#: Whether a code point is white space; the last entry is for all larger ones.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -69,34 +70,60 @@ def digests(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return out[0], out[1] >> np.uint64(33)
 
 
-def units(text: str | None, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and the first word of each unit; a last entry of the second array is the number of words."""
-    words, ends = [], []
-    for line in (text or "").split("\n"):
-        words += line.split()
-        ends.append(len(words))
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    h = np.fromiter(map(marks.__getitem__, words), np.uint64, n)
+@dataclass(frozen=True)
+class Units:
+    """The words and units of several texts, one text behind the other.
+
+    ``hashes`` of the words, ``spans`` of each word in its text (first code point,
+    and the one behind the last), ``starts``: the first word of each unit and, as
+    the last entry, the number of words; ``text`` of each unit; ``bounds``: the
+    first word of each text, and the number of words.
+    """
+
+    hashes: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray]
+    starts: np.ndarray
+    text: np.ndarray
+    bounds: np.ndarray
+
+
+def units(texts: list[str | None], marks: Marks) -> Units:
+    """The units of ``texts``; each distinct word is marked once."""
+    joined = "\n".join([t or "" for t in texts])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate([[False], ~_SPACE[np.minimum(points, len(_SPACE) - 1)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, stop = edges[::2], edges[1::2]
+    line = np.cumsum(points == 10)[first]
+    words = pa.array(joined.split(), pa.large_string()).dictionary_encode()
+    known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    h = np.fromiter(map(marks.__getitem__, known), np.uint64, len(known))[words.indices.to_numpy()]
     last = (h & np.uint64(1)).astype(bool)
-    last[np.array([e for e in ends if e], np.int64) - 1] = True
-    return mixed(h | np.uint64(1)), np.concatenate([[0], np.flatnonzero(last) + 1])
+    last[:-1] |= line[1:] != line[:-1]  # a text begins a line
+    last[-1:] = True
+    begin = np.cumsum([0, *[len(t or "") + 1 for t in texts]])
+    bounds = np.searchsorted(first, begin)
+    starts = np.concatenate([[0], np.flatnonzero(last) + 1])
+    base = np.repeat(begin[:-1], np.diff(bounds))
+    return Units(mixed(h | np.uint64(1)), (first - base, stop - base), starts, np.searchsorted(bounds, starts[:-1], "right") - 1, bounds)
 
 
-def sequences(starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def sequences(u: Units, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """[first, stop) of the sequences that begin or end with a unit and have ``min_words`` words, or the unit's if it is longer; by position."""
-    a, b, n = starts[:-1], starts[1:], int(starts[-1])
+    a, b, n = u.starts[:-1], u.starts[1:], int(u.starts[-1])
     first, stop = np.concatenate([a, np.minimum(a, b - min_words)]), np.concatenate([np.maximum(b, a + min_words), b])
-    whole = (first >= 0) & (stop <= n)
+    whole = (first >= np.tile(u.bounds[u.text], 2)) & (stop <= np.tile(u.bounds[u.text + 1], 2))
     both = np.unique(first[whole] * (n + 1) + stop[whole])
     return both // (n + 1), both % (n + 1)
 
 
-def _first_in_text(a: np.ndarray) -> np.ndarray:
-    """True at the first unit of each digest."""
-    out = np.zeros(len(a), bool)
-    out[np.unique(a, return_index=True)[1]] = True
+def _first_in_text(a: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each entry, the first one of the same text with its digest."""
+    order = np.lexsort((a, text))
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(text[order]) != 0) | (np.diff(a[order]) != 0)
+    out = np.empty(len(a), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
     return out
 
 
@@ -106,16 +133,11 @@ def _repeated_units(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks()
         for batch, texts in text_batches(batches):
-            ids, parts = batch.column("doc_id"), []
-            for i, text in enumerate(texts):
-                h, starts = units(text, marks)
-                if len(h):
-                    a, b = digests(h, starts[:-1], starts[1:])
-                    new = _first_in_text(a)
-                    parts.append((a[new], b[new], np.full(int(new.sum()), i, np.int64)))
-            if parts:
-                a, b, i = (np.concatenate(p) for p in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), ids.take(pa.array(i))], ["a", "b", "doc_id"])
+            u = units(texts, marks)
+            a, b = digests(u.hashes, u.starts[:-1], u.starts[1:])
+            new = np.flatnonzero(_first_in_text(a, u.text) == np.arange(len(a)))
+            ids = batch.column("doc_id").take(pa.array(u.text[new]))
+            yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].astype(np.int32)), ids], ["a", "b", "doc_id"])
 
     found = docs.select("doc_id", "text").where("doc_id is not null or text is not null").mapInArrow(rows, "a long, b int, doc_id long")
     # an absent id ranks behind all others
@@ -142,31 +164,21 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks()
         for batch, texts in text_batches(batches):
-            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-            for i, text in enumerate(texts):
-                h, starts = units(text, marks)
-                first, stop = sequences(starts, min_words)
-                if not len(first):
-                    continue
-                a, b = digests(h, first, stop)
-                _, place, of = np.unique(a, return_index=True, return_inverse=True)
-                again = first >= stop[place[of]]
-                # the units that a sequence holds as a whole have to be repeated ones
-                known = np.concatenate([[0], np.cumsum(has_bit(bits.value, digests(h, starts[:-1], starts[1:])[0], FILTER_BITS))])
-                lo, hi = np.searchsorted(starts[:-1], first), np.searchsorted(starts[1:], stop, "right")
-                hit = np.flatnonzero(again | (known[hi] - known[lo] == hi - lo))
-                if len(hit):
-                    spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-                    first, stop = first[hit], stop[hit]
-                    for c, v in zip(cols, (np.full(len(hit), i), first, stop, spans[first, 0], spans[stop - 1, 1], a[hit], b[hit], again[hit]), strict=True):
-                        c.append(v)
-            if cols[0]:
-                i, first, stop, start, end, a, b, again = (np.concatenate(c) for c in cols)
-                i = pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(i), batch.column("text_hash").take(i), pa.array(first), pa.array(stop), pa.array(start), pa.array(end), pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(again)],
-                    ["doc_id", "text_hash", "word", "word_stop", "start", "stop", "a", "b", "again"],
-                )
+            u = units(texts, marks)
+            first, stop = sequences(u, min_words)
+            a, b = digests(u.hashes, first, stop)
+            text = np.searchsorted(u.bounds, first, "right") - 1
+            again = first >= stop[_first_in_text(a, text)]
+            # the units that a sequence holds as a whole have to be repeated ones
+            known = np.concatenate([[0], np.cumsum(has_bit(bits.value, digests(u.hashes, u.starts[:-1], u.starts[1:])[0], FILTER_BITS))])
+            lo, hi = np.searchsorted(u.starts[:-1], first), np.searchsorted(u.starts[1:], stop, "right")
+            hit = np.flatnonzero(again | (known[hi] - known[lo] == hi - lo))
+            first, stop, text = first[hit], stop[hit], text[hit]
+            i, base = pa.array(text), u.bounds[text]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(i), batch.column("text_hash").take(i), pa.array(first - base), pa.array(stop - base), pa.array(u.spans[0][first]), pa.array(u.spans[1][stop - 1]), pa.array(a[hit].view(np.int64)), pa.array(b[hit].astype(np.int32)), pa.array(again[hit])],
+                ["doc_id", "text_hash", "word", "word_stop", "start", "stop", "a", "b", "again"],
+            )
 
     kind = "doc_id long, text_hash long, word long, word_stop long, start long, stop long, a long, b int, again boolean"
     hits = stored(docs.where("text is not null").withColumn("text_hash", F.xxhash64("text")).mapInArrow(rows, kind))

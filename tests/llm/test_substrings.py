@@ -1,5 +1,7 @@
 """Repeated spans against the sequences of words that were seen before."""
 
+import re
+
 import numpy as np
 
 from pairscape.llm import substrings
@@ -37,3 +39,26 @@ def test_run_of_one_word_keeps_its_first_words(spark):
     text = " ".join([cut] * 50)
     (r,) = substrings.repeated_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert (len(text[: r.start].split()), r.n_words, r.first_doc_id) == (8, 42, 1)
+
+
+def test_words_of_several_texts_are_found_and_marked_once():
+    """Words, their places and the units of each text as a plain split gives them; a word that texts share is looked up once."""
+    asked = []
+
+    class Counted(substrings.Marks):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    texts = ["a  bb. c\n\n d\x1ce", None, "", " \n", "é　a 𝒳 \x85bb.\n"]
+    u = substrings.units(texts, Counted())
+    plain = [[(w, m.start(), m.end()) for m in re.finditer(r"\S+", t or "") for w in [m.group()]] for t in texts]
+    flat = [x for p in plain for x in p]
+    assert sorted(asked) == sorted({w for w, _, _ in flat})
+    assert list(zip(*(s.tolist() for s in u.spans), strict=True)) == [(a, b) for _, a, b in flat]
+    assert u.bounds.tolist() == np.cumsum([0, *map(len, plain)]).tolist()
+    for i, t in enumerate(texts):
+        alone = substrings.units([t], substrings.Marks())
+        mine = slice(u.bounds[i], u.bounds[i + 1])
+        assert u.hashes[mine].tolist() == alone.hashes.tolist()
+        assert (u.starts[:-1][u.text == i] - u.bounds[i]).tolist() == alone.starts[:-1].tolist()
