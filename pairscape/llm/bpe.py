@@ -14,11 +14,11 @@ import json
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -30,9 +30,12 @@ from .common import list_column, runs, text_batches
 WORD_BPE = "word_bpe_49k.json"
 #: Strings whose ids a worker remembers in each of two generations.
 REMEMBERED = 200_000
-#: Characters of texts whose words are looked up and encoded together; their strings stay in the processor's cache.
-TOGETHER = 1 << 18
+#: Characters of texts whose words are looked up and encoded together.
+TOGETHER = 1 << 22
 
+#: The pattern of words that is worked out by the kinds of characters, and these kinds.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+OTHER, LETTER, NUMBER, WHITE = range(4)
 #: In texts of these characters, lower() and the pattern below do what the library does: they are in NFC and one to one.
 _LATIN = regex.compile(r"[^\x00-\x1b\x20-ɏ]")
 
@@ -54,9 +57,9 @@ class Remembered(dict):
     def of(self, keys: list[str]) -> list[bytes]:
         """The values of ``keys``; the function is called once, with the distinct keys that are not remembered."""
         values = [*map(self.get, keys)]
-        if None not in values:
-            return values
         missed = [i for i, v in enumerate(values) if v is None]
+        if not missed:
+            return values
         wanted = dict.fromkeys([keys[i] for i in missed])
         if len(self) + len(wanted) > REMEMBERED:
             self.old = dict(self)
@@ -71,6 +74,29 @@ class Remembered(dict):
         return values
 
 
+def _strings(distinct: pa.Array) -> list[str]:
+    return distinct.to_numpy(zero_copy_only=False).tolist()
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one behind the other, and the number of each entry's."""
+    return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _gathered(ids: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``which`` of a table, given as all their ids and the number of each entry's, in the same form."""
+    first, many = (np.cumsum(n) - n)[which], n[which]
+    upto = np.cumsum(many)
+    place = np.repeat(first - upto + many, many)
+    return ids[place + np.arange(len(place))], many
+
+
+def _grouped(n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``n`` over groups of neighbours, given by the end of each group."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return np.diff(upto[ends], prepend=0)
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one tokenizer file (BPE over byte characters with an end-of-word suffix)."""
 
@@ -88,6 +114,8 @@ class ForcedBoundaryBPE:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         white = r"\x09-\x0d\x20\x85\xa0"
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{white}\p{{L}}\p{{N}}]"))
+        self.simple = pattern == PATTERN
+        self.kinds = np.array([LETTER if regex.match(r"\p{L}", c) else NUMBER if regex.match(r"\p{N}", c) else WHITE if regex.match(f"[{white}]", c) else OTHER for c in map(chr, range(0x2C80))], np.uint8)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         bare = [t.removesuffix(self.suffix) if self.suffix else t for t in self.vocabulary]
         self.bytes = byte_characters()
@@ -100,16 +128,15 @@ class ForcedBoundaryBPE:
         self.written = np.array([ord(c) for c in self.bytes], "<u2")
         self.inner = Remembered(lambda parts: map(self.merge, parts))
         self.last = Remembered(lambda parts: map(self.merge_last, parts))
-        self.chunks = Remembered(self.encode_chunks)
 
-    def cut(self, words: list[str]) -> list[str]:
-        """Each word in byte characters with a space at every forced boundary; one look at all neighbouring bytes."""
+    def cut(self, words: list[str]) -> str:
+        """Each word in byte characters with a space at every forced boundary, a line for each; one look at all neighbouring bytes."""
         flat = np.frombuffer("\n".join(words).encode(), np.uint8)
         signs = self.written[flat]
         signs[flat == 10] = 10  # byte characters are no white space: it parts words and fragments here
         here = self.cuts[flat[:-1], flat[1:]] & (signs[:-1] != 10) & (signs[1:] != 10)
         signs = np.insert(signs, np.flatnonzero(here) + 1, 32)
-        return signs.tobytes().decode("utf-16-le").split("\n")
+        return signs.tobytes().decode("utf-16-le")
 
     def merge(self, fragment: str) -> bytes:
         """The ids of one fragment without suffix: the pair of lowest rank is joined, the first one at ties, until none is left."""
@@ -128,56 +155,69 @@ class ForcedBoundaryBPE:
         """The ids of the fragment at a word's end: the library's merge loop appends the suffix."""
         return array("i", [t.id for t in self.library.model.tokenize(fragment)]).tobytes()
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian 32-bit integers; distinct fragments are encoded once."""
-        cut = self.cut(words)
-        last = self.last.of([w[w.rfind(" ") + 1 :] for w in cut])
-        several = [i for i, w in enumerate(cut) if " " in w]
-        parts: list[str] = []
-        for i in several:
-            parts += cut[i].split(" ")[:-1]
-        inner = iter(self.inner.of(parts))
-        for i in several:
-            last[i] = b"".join([*islice(inner, cut[i].count(" ")), last[i]])
-        return last
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each lower-cased string without white space."""
-        flat, counts = [], []
-        for c in chunks:
-            if c.isalpha():  # one word
-                flat.append(c)
-                counts.append(1)
-            else:
-                words = self.pattern.findall(c)
-                flat += words
-                counts.append(len(words))
-        ids = iter(self.encode_words(flat) if flat else ())
-        return [next(ids) if n == 1 else b"".join(islice(ids, n)) for n in counts]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one behind the other, and how many each has; distinct fragments are looked up once."""
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        fragments = pc.split_pattern(pc.split_pattern(pa.array([self.cut(words)], pa.large_string()), "\n").flatten(), " ")
+        ends = np.cumsum(pc.list_value_length(fragments).to_numpy())
+        flat = fragments.flatten()
+        which, tables, before = np.zeros(len(flat), np.int64), [], 0
+        last = np.zeros(len(flat), bool)
+        last[ends - 1] = True
+        for mask, known in ((last, self.last), (~last, self.inner)):
+            some = flat.filter(pa.array(mask)).dictionary_encode()
+            tables += known.of(_strings(some.dictionary))
+            which[mask] = some.indices.to_numpy() + before
+            before = len(tables)
+        ids, n = _gathered(*_joined(tables), which)
+        return ids, _grouped(n, ends)
+
+    def split(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all lower-cased texts, and behind how many words each text ends: what :data:`PATTERN` finds, by the kinds of neighbouring characters."""
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.kinds[np.minimum(points, len(self.kinds) - 1)]
+        inside = kind != WHITE
+        here = ((kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)) & inside[1:] & inside[:-1]
+        # an apostrophe behind no other sign may begin one of the endings, which is a word for itself
+        tick = np.flatnonzero(points == 39)
+        tick = tick[(tick == 0) | (kind[tick - 1] != OTHER)]
+        behind = np.concatenate([points, [0, 0]])
+        one, two = behind[tick + 1], behind[tick + 2]
+        length = np.where(np.isin(one, [*map(ord, "stmd")]), 2, 0)
+        for x, y in ("re", "ve", "ll"):
+            length[(one == ord(x)) & (two == ord(y))] = 3
+        tick, length = tick[length > 0], length[length > 0]
+        here[tick] = False
+        stop = tick + length
+        stop = stop[stop < len(points)]
+        here[stop - 1] = inside[stop]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | here
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        words = np.insert(points, np.flatnonzero(here) + 1, 32).tobytes().decode("utf-32-le").split()
+        return pa.array(words, pa.large_string()).dictionary_encode(), np.searchsorted(np.flatnonzero(start), ends)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text without added special tokens; their own strings in a text are special, as in the library."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text (see :meth:`encode`); their new words are encoded together."""
+        """The ids of each text (see :meth:`encode`); each distinct string of a piece of texts is looked up once."""
         out: list[np.ndarray] = []
         for a, b in runs(texts, TOGETHER):
-            split = [t.lower().split() if t and self.plain(t) else None for t in texts[a:b]]
-            flat = [c for s in split if s for c in s]
-            ids = [i for k in range(0, len(flat), REMEMBERED) for i in self.chunks.of(flat[k : k + REMEMBERED])]
-            at = 0
-            for t, s in zip(texts[a:b], split, strict=True):
-                if s is None:
-                    out.append(np.frombuffer(self.encode_other(t) if t else b"", np.int32))
-                else:
-                    out.append(np.frombuffer(b"".join(ids[at : at + len(s)]), np.int32))
-                    at += len(s)
+            plain = [t is not None and self.plain(t) for t in texts[a:b]]
+            words, ends = self.split([t.lower() if p else "" for t, p in zip(texts[a:b], plain, strict=True)])
+            ids, n = _gathered(*self.encode_words(_strings(words.dictionary)), words.indices.to_numpy())
+            stop = np.cumsum(_grouped(n, ends)).tolist()
+            for t, p, x, y in zip(texts[a:b], plain, [0, *stop], stop, strict=False):
+                out.append(ids[x:y] if p else np.frombuffer(self.encode_other(t) if t else b"", np.int32))
         return out
 
     def plain(self, text: str) -> bool:
         """Whether lower() and the pattern do what the library does, and no special token is written in ``text``."""
-        return _LATIN.search(text) is None and (self.specials is None or "<|" not in text or self.specials.search(text) is None)
+        return self.simple and _LATIN.search(text) is None and (self.specials is None or "<|" not in text or self.specials.search(text) is None)
 
     def encode_other(self, text: str) -> bytes:
         """The ids of a text that :meth:`plain` refuses, with the library's normaliser and pre-tokeniser where they are needed."""
@@ -186,11 +226,12 @@ class ForcedBoundaryBPE:
             if part in self.special:
                 out.append(array("i", [self.special[part]]).tobytes())
             elif part and _LATIN.search(part) is None:  # no word of the pattern crosses white space
-                out += self.chunks.of(part.lower().split())
+                words = self.pattern.findall(part.lower())
+                out.append(self.encode_words(words)[0].tobytes())
             elif part:
                 normal = self.library.normalizer.normalize_str(part)
                 words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-                out += self.encode_words([bytes(map(self.byte.__getitem__, w)).decode() for w in words]) if words else []
+                out.append(self.encode_words([bytes(map(self.byte.__getitem__, w)).decode() for w in words])[0].tobytes())
         return b"".join(out)
 
     def decode(self, ids) -> str:
@@ -228,13 +269,13 @@ def decode_column(ids, tokenizer: str = WORD_BPE):
 def bpe_roundtrip(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """doc_id, ids and decoded text of each row of ``docs``; repeated rows each have one.
 
-    Both directions run in one task over pieces of about 2 MB of text, so a worker
+    Both directions run in one task over pieces of about 4 MB of text, so a worker
     holds one piece's ids and one copy of the tables.
     """
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(tokenizer)
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, TOGETHER):
             ids = bpe.encode_all(texts)
             decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(ids, pa.int32()), decoded], ["doc_id", "ids", "decoded"])

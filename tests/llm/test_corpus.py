@@ -256,3 +256,21 @@ def test_pipeline_stages(spark):
         ids = TOKENIZER.encode(r.text, add_special_tokens=False).ids
         assert tokens[r.doc_id].ids == ids
         assert tokens[r.doc_id].decoded_sha256 == hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_words_by_kinds_are_those_of_the_pattern():
+    """Words, ids and the number of look-ups for texts with endings, signs, numbers and odd white space."""
+    coder = bpe.ForcedBoundaryBPE(bpe.public_tokenizers.path(bpe.WORD_BPE))
+    every = [chr(i) for i in range(0x250) if not 0x1C <= i <= 0x1F]
+    texts = ["", "don't  it's'll x--'s 's we'score", "l'été, l'été.\xa0l'été!", "".join(every), "".join(f"a{c}b1{c}'{c}" for c in every), "\x85 ", "İx ȺⱥȾ"]
+    low = [t.lower() for t in texts]
+    words, ends = coder.split(low)
+    assert words.to_pylist() == [w for t in low for w in coder.pattern.findall(t)]
+    assert ends.tolist() == np.cumsum([len(coder.pattern.findall(t)) for t in low]).tolist()
+    for t, ids in zip(texts, coder.encode_all(texts), strict=True):
+        assert ids.tolist() == coder.library.encode(t, add_special_tokens=False).ids
+    asked = []
+    fresh = bpe.ForcedBoundaryBPE(bpe.public_tokenizers.path(bpe.WORD_BPE))
+    plain, fresh.last.function = fresh.last.function, lambda parts: plain(asked.extend(parts) or parts)
+    fresh.encode_all(["word, word.", "word!", "(word)"])
+    assert len(asked) == len(set(asked)) and asked.count("word") == 1
