@@ -274,3 +274,15 @@ def test_words_by_kinds_are_those_of_the_pattern():
     plain, fresh.last.function = fresh.last.function, lambda parts: plain(asked.extend(parts) or parts)
     fresh.encode_all(["word, word.", "word!", "(word)"])
     assert len(asked) == len(set(asked)) and asked.count("word") == 1
+
+
+def test_blocks_hold_their_words_split_and_counted(spark):
+    rows = [(1, "B a\tb  c", True), (2, None, True), (3, "c d", False), (4, " ", False)]
+    (r,) = mixing.blocks_of(spark.createDataFrame(rows, "doc_id long, text string, train boolean").coalesce(1)).collect()
+    words, counts = mixing.unpacked(r.words, r.counts)
+    assert dict(zip(words, counts.tolist(), strict=True)) == {b"a": 1, b"b": 2, b"c": 1, b"d": 0} and r.train_docs == 2
+    assert (np.diff(mixing.word_hashes(words).astype(object)) > 0).all()
+    unpack = mixing.zstandard.ZstdDecompressor().decompress
+    tokens, ends = np.frombuffer(unpack(r.tokens), np.int32), np.cumsum(np.frombuffer(unpack(r.lengths), np.int64))
+    texts = {d: b" ".join(words[w] for w in p) for d, p in zip(r.doc_ids, np.split(tokens, ends[:-1]), strict=True)}
+    assert texts == {1: b"b a b c", 2: b"", 3: b"c d", 4: b""}
