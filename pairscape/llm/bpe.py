@@ -129,8 +129,12 @@ class ForcedBoundaryBPE:
         self.inner = Remembered(lambda parts: map(self.merge, parts))
         self.last = Remembered(lambda parts: map(self.merge_last, parts))
 
-    def cut(self, words: list[str]) -> str:
-        """Each word in byte characters with a space at every forced boundary, a line for each; one look at all neighbouring bytes."""
+    def cut(self, words: list[str]) -> list[str]:
+        """Each word in byte characters with a space at every forced boundary."""
+        return self.cut_lines(words).split("\n")
+
+    def cut_lines(self, words: list[str]) -> str:
+        """The same as one string, a line for each word; one look at all neighbouring bytes."""
         flat = np.frombuffer("\n".join(words).encode(), np.uint8)
         signs = self.written[flat]
         signs[flat == 10] = 10  # byte characters are no white space: it parts words and fragments here
@@ -159,7 +163,7 @@ class ForcedBoundaryBPE:
         """The ids of all words, one behind the other, and how many each has; distinct fragments are looked up once."""
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        fragments = pc.split_pattern(pc.split_pattern(pa.array([self.cut(words)], pa.large_string()), "\n").flatten(), " ")
+        fragments = pc.split_pattern(pc.split_pattern(pa.array([self.cut_lines(words)], pa.large_string()), "\n").flatten(), " ")
         ends = np.cumsum(pc.list_value_length(fragments).to_numpy())
         flat = fragments.flatten()
         which, tables, before = np.zeros(len(flat), np.int64), [], 0
