@@ -30,8 +30,8 @@ from .common import list_column, runs, text_batches
 WORD_BPE = "word_bpe_49k.json"
 #: Strings whose ids a worker remembers in each of two generations.
 REMEMBERED = 200_000
-#: Characters of texts whose words are looked up and encoded together.
-TOGETHER = 1 << 22
+#: Characters of texts whose words are looked up and encoded together; a piece takes some 30 MB beside its ids.
+TOGETHER = 1 << 20
 
 #: The pattern of words that is worked out by the kinds of characters, and these kinds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -273,7 +273,7 @@ def decode_column(ids, tokenizer: str = WORD_BPE):
 def bpe_roundtrip(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """doc_id, ids and decoded text of each row of ``docs``; repeated rows each have one.
 
-    Both directions run in one task over pieces of about 4 MB of text, so a worker
+    Both directions run in one task over pieces of about 1 MB of text, so a worker
     holds one piece's ids and one copy of the tables.
     """
 

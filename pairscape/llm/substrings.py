@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ from .common import has_bit, key_bits, mixed, shared, text_batches
 
 MIN_WORDS = 8
 CUT_EVERY = 8
+#: Characters of texts whose units are worked out together.
+TOGETHER = 1 << 20
 #: Bits of the filter of repeated units: fixed, 8 MB in a broadcast.
 FILTER_BITS = 26
 
@@ -53,7 +55,7 @@ class Marks(dict):
         return value
 
 
-@cache
+@lru_cache(maxsize=4)  # both bases and their inverses, of one size
 def _powers(base: int, size: int) -> np.ndarray:
     """Powers 0 to size - 1 of an odd number, modulo 2**64."""
     out = np.full(size, base, np.uint64)
@@ -132,7 +134,7 @@ def _repeated_units(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks()
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, TOGETHER):
             u = units(texts, marks)
             a, b = digests(u.hashes, u.starts[:-1], u.starts[1:])
             new = np.flatnonzero(_first_in_text(a, u.text) == np.arange(len(a)))
@@ -163,7 +165,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks()
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, TOGETHER):
             u = units(texts, marks)
             first, stop = sequences(u, min_words)
             a, b = digests(u.hashes, first, stop)
