@@ -152,3 +152,28 @@ def test_constrained_pairs_equal_the_sequential_choice(spark, monkeypatch):
     want = constrained_model(rows, targets, 3, 5, 42)
     found = {x.pair_id: (x.selected_reason, x.image_use_count_t1, x.image_use_count_t2, x.fallback_max_image_use_used) for x in got}
     assert found == want and {v[3] for v in want.values()} == {True, False}
+
+
+def test_a_choice_of_few_pairs_looks_at_the_beginning_of_the_order(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    kinds = ["same_season_multiyear", "cross_season_sameyear", "cross_season_multiyear"]
+    for i in range(3000):
+        split = "train" if i < 2000 else "val"
+        a, b = r.sample(range(500), 2)
+        rows.append((f"k{i:04d}", split, r.choices(kinds, [5, 1, 3])[0], r.randrange(8), f"{split}{a}", f"{split}{b}"))
+    # the first kind has fewer candidates in val than its quota: the backfill has to find others
+    rows = [x for x in rows if x[1] == "train" or x[2] != kinds[0] or x[0] > "k2990"]
+    targets = {"train": 40, "val": 30}
+    pairs = spark.createDataFrame(rows, "pair_id string, split string, pair_type string, time_gap_years int, image_id_t1 string, image_id_t2 string")
+    taken, looked_at = pair_ops.capped_selection, []
+
+    def counted(df, *args, **kwargs):
+        looked_at.append(df.count())
+        return taken(df, *args, **kwargs)
+
+    monkeypatch.setattr(pair_ops, "capped_selection", counted)
+    got = pair_ops.constrained_pairs(pairs, targets, 3, 5, 42).collect()
+    want = constrained_model(rows, targets, 3, 5, 42)
+    assert {x.pair_id: (x.selected_reason, x.image_use_count_t1, x.image_use_count_t2, x.fallback_max_image_use_used) for x in got} == want
+    assert "backfill_reuse_limited" in [v[0] for v in want.values()]
+    assert max(looked_at) < len(rows) // 4
