@@ -32,7 +32,7 @@ from .common import has_bit, key_bits, mixed, shared, text_batches
 MIN_WORDS = 8
 CUT_EVERY = 8
 #: Characters of texts whose units are worked out together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 #: Bits of the filter of repeated units: fixed, 8 MB in a broadcast.
 FILTER_BITS = 26
 
@@ -47,7 +47,7 @@ class Marks(dict):
     """Hashes of normalised words; the lowest bit is set where a unit ends after the word."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest((word.strip(_OUTER) or word).lower().encode("utf-8", "surrogatepass"))
         cut = word.endswith(_SENTENCE_END) or (h >> 20) % CUT_EVERY == 0

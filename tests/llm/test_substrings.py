@@ -62,3 +62,26 @@ def test_words_of_several_texts_are_found_and_marked_once():
         mine = slice(u.bounds[i], u.bounds[i + 1])
         assert u.hashes[mine].tolist() == alone.hashes.tolist()
         assert (u.starts[:-1][u.text == i] - u.bounds[i]).tolist() == alone.starts[:-1].tolist()
+
+
+def test_only_a_piece_of_a_batch_is_python_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pairscape.llm.common import runs, text_batches
+
+    texts = [None, "", "é" * 70_000, *[f"{i} " + "word " * 2000 for i in range(3000)], "x" * 300_000, "end"]
+    batch = pa.RecordBatch.from_pydict({"n": pa.array(range(len(texts))), "text": pa.array(texts)})
+    want = [(a, b) for a, b in runs(texts, 100_000)]
+    tracemalloc.start()
+    try:
+        got, held = [], 0
+        for piece, some in text_batches([batch], 100_000):
+            first = piece.column("n")[0].as_py()
+            assert some == texts[first : first + piece.num_rows]
+            got.append((first, first + piece.num_rows))
+            held = max(held, tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert got == want and held < 2_000_000
