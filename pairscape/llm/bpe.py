@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import list_column, runs, text_batches
+from .common import kept, list_column, runs, text_batches
 
 WORD_BPE = "word_bpe_49k.json"
 #: Strings whose ids a worker remembers in each of two generations.
 REMEMBERED = 200_000
 #: Characters of texts whose words are looked up and encoded together; a piece takes some 30 MB beside its ids.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 #: The pattern of words that is worked out by the kinds of characters, and these kinds.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -243,9 +242,8 @@ class ForcedBoundaryBPE:
         return " ".join([self.tokens[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
 def _loaded(name: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(public_tokenizers.path(name))
+    return kept(("bpe", name), lambda: ForcedBoundaryBPE(public_tokenizers.path(name)))
 
 
 def encode_column(text, tokenizer: str = WORD_BPE):
@@ -273,13 +271,13 @@ def decode_column(ids, tokenizer: str = WORD_BPE):
 def bpe_roundtrip(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """doc_id, ids and decoded text of each row of ``docs``; repeated rows each have one.
 
-    Both directions run in one task over pieces of about 1 MB of text, so a worker
+    Both directions run in one task over pieces of about 512 K characters, so a worker
     holds one piece's ids and one copy of the tables.
     """
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(tokenizer)
-        for batch, texts in text_batches(batches, TOGETHER):
+        for batch, texts in text_batches(batches, TOGETHER, keeping=True):
             ids = bpe.encode_all(texts)
             decoded = pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(ids, pa.int32()), decoded], ["doc_id", "ids", "decoded"])

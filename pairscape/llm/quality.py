@@ -15,12 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, shared
+from .common import crc_mod, kept_dropped, memory_returned, shared
 
 PIECE = 512
 DICTIONARY = 65536
@@ -128,13 +128,15 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
     """``docs`` with a column ``score`` from 0 (bad) to 1 (good), from the text alone; null counts as empty."""
     held = shared(docs.sparkSession, model)
 
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept_dropped()
         sizes = None if held.value.constant is not None else Sizes(held.value.dictionaries)
-        for batch in batches:
-            f = np.array([(0.0, 0.0) if sizes is None else sizes.features(t) for t in batch], float).reshape(-1, 2)
-            yield pd.Series(probability(held.value, f))
+        for batch in batches:  # one text at a time is a Python string
+            f = np.array([(0.0, 0.0) if sizes is None else sizes.features(t.as_py()) for t in batch], float).reshape(-1, 2)
+            yield pa.array(probability(held.value, f))
+            memory_returned()
 
-    return docs.withColumn(score, F.pandas_udf(rate, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return docs.withColumn(score, F.arrow_udf(rate, "double")(F.col(text)))
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:

@@ -89,7 +89,7 @@ def encoded(docs: DataFrame, end_id: int, tokenizer: str = WORD_BPE) -> DataFram
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(tokenizer)
         kind = np.uint16 if max(max(bpe.tokens), end_id) < 1 << 16 else np.uint32
-        for batch, texts in text_batches(batches, TOGETHER):
+        for batch, texts in text_batches(batches, TOGETHER, keeping=True):
             ids = [np.append(i, end_id).astype(kind) for i in bpe.encode_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.dtype.itemsize for i in ids], pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
 

@@ -85,3 +85,17 @@ def test_only_a_piece_of_a_batch_is_python_text_at_a_time():
     finally:
         tracemalloc.stop()
     assert got == want and held < 2_000_000
+
+
+def test_a_worker_drops_the_encoder_when_it_goes_to_another_operator():
+    import pyarrow as pa
+
+    from pairscape.llm import bpe, common
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a word", None]})
+    held = bpe._loaded(bpe.WORD_BPE)
+    assert [t for _, t in common.text_batches([batch], keeping=True)] == [["a word", None]]
+    assert bpe._loaded(bpe.WORD_BPE) is held
+    assert len([*common.text_batches([batch])]) == 1
+    assert bpe._loaded(bpe.WORD_BPE) is not held
+    common.kept_dropped()
