@@ -99,3 +99,20 @@ def test_a_worker_drops_the_encoder_when_it_goes_to_another_operator():
     assert len([*common.text_batches([batch])]) == 1
     assert bpe._loaded(bpe.WORD_BPE) is not held
     common.kept_dropped()
+
+
+def test_logits_of_slots_follow_the_plain_formula():
+    import numpy as np
+
+    from pairscape.llm import mixing
+
+    rng = np.random.default_rng(3)
+    counts = (rng.poisson(0.8, (mixing.OFFSETS[-1], 2)) * rng.integers(1, 90, (mixing.OFFSETS[-1], 1))).astype(np.float32)
+    slots = [rng.integers(mixing.OFFSETS[k], mixing.OFFSETS[k + 1], 5000) for k in range(mixing.PREDICTORS)]
+    bit, own = rng.integers(0, 2, 5000).astype(np.int8), rng.integers(0, 5, 5000).astype(np.float32)
+    added = np.float32(mixing.ADDED)
+    for mine, (x, gate) in ((np.zeros(5000, np.float32), mixing.looked_up(slots, *mixing.slot_values(counts))), (own, mixing.inputs(slots, counts, own, bit))):
+        left = [[np.maximum(counts[s, v] - np.where(bit == v, mine, 0), 0) for v in (0, 1)] for s in slots]
+        assert all(np.array_equal(x[:, k], np.clip(np.log((one + added) / (zero + added)), -12, 12)) for k, (zero, one) in enumerate(left))
+        level = [(z + o > 0) * 1 + (z + o > 7) + (z + o > 127) for z, o in left]
+        assert np.array_equal(gate, 4 * level[-2] + level[-1]) and (x[:, -1] == 1).all()
