@@ -113,10 +113,10 @@ def _(t):
        STATS_SQL + "SELECT feature, feature LIKE '%!_ratio' ESCAPE '!' OR feature LIKE '%between' AS mismatch FROM stats")
 def _(t):
     feats = stored(features_df(t))
-    stored = cut_lineage(tb.train_stats(feats)).filter(~F.col("feature").endswith("between")).withColumn(
+    saved = cut_lineage(tb.train_stats(feats)).filter(~F.col("feature").endswith("between")).withColumn(
         "mean", F.when(F.col("feature").endswith("_ratio"), F.col("mean") + 1).otherwise(F.col("mean"))
     )
-    return au.verify_train_stats(feats, stored, tb.model_features(feats))
+    return au.verify_train_stats(feats, saved, tb.model_features(feats))
 
 
 NAMES = f"SELECT DISTINCT feature FROM ({FEATURE_NAMES}) n"
