@@ -225,8 +225,8 @@ INDEX_SQL = """
         WHERE a.width = b.width AND a.height = b.height) g) h"""
 
 
-def index_df(t):
-    return pt.patch_index(t.view("pairs"), t.view("sizes"))[0]
+def index_df(t, by_pair=False):
+    return pt.patch_index(t.view("pairs"), t.view("sizes"), by_pair=by_pair)[0]
 
 
 @query("X3_patch_index", "patch_id:s pair_id:s district:s split:s pair_type:s time_gap_group:s x:i y:i dw_path_t1:s", INDEX_SQL)
@@ -441,7 +441,7 @@ W4_SQL = f"""
 @query("W4_spatial_sample", "patch_id:s pair_id:s sampled_from_total_pair_patches:i pair_sampling_ratio:d patch_center_x:d",
        W4_SQL + "SELECT patch_id, pair_id, n AS sampled_from_total_pair_patches, least(n, 8) / CAST(n AS DOUBLE) AS pair_sampling_ratio, cx AS patch_center_x FROM turn WHERE turn <= 8 OR n <= 8")
 def _(t):
-    return pt.spatial_sample(index_df(t), 8)
+    return pt.spatial_sample(index_df(t, by_pair=True), 8, named=True)
 
 
 @query("R11_patch_report", REPORT,

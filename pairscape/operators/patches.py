@@ -18,6 +18,8 @@ MSG_NO_SIZE = "raster size unknown"
 MSG_NO_RASTER = "no pixels of raster "
 #: Side of a block of pixels that is summed as a whole.
 BLOCK = 64
+#: Tasks for each shuffle partition where the grids of pairs are made: a grid is many times as long as its pair.
+GRID_TASKS = 4
 LABEL_COLUMNS = (
     "valid_pixel_count", "changed_pixel_count", "valid_pixel_ratio", "change_ratio", "change_class",
     "label_status", "label_error_message",
@@ -71,9 +73,13 @@ def check_grid(grid: DataFrame, width: str = "width", height: str = "height") ->
 
 
 def patch_index(
-    pairs: DataFrame, sizes: DataFrame, patch: int = PATCH, stride: int = STRIDE
+    pairs: DataFrame, sizes: DataFrame, patch: int = PATCH, stride: int = STRIDE, by_pair: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(index, errors): the grid of every pair whose two rasters have one known size."""
+    """(index, errors): the grid of every pair whose two rasters have one known size.
+
+    ``by_pair`` lays equal pair ids together before the grids are made, so what
+    groups the patches by pair need not shuffle them.
+    """
     sized = pairs
     for t in ("t1", "t2"):
         side = sizes.select(
@@ -86,7 +92,10 @@ def patch_index(
         differ, F.format_string("Sentinel t1/t2 shape mismatch: t1=%dx%d, t2=%dx%d", "__w_t1", "__h_t1", "__w_t2", "__h_t2")
     )
     judged = sized.withColumn("error_message", message)
-    grid = patch_grid(judged.filter(F.col("error_message").isNull()), patch, stride, "__w_t1", "__h_t1")
+    good = judged.filter(F.col("error_message").isNull())
+    if by_pair:
+        good = good.repartition(GRID_TASKS * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id")
+    grid = patch_grid(good, patch, stride, "__w_t1", "__h_t1")
     index = grid.withColumn("patch_id", fn.patch_id("pair_id", "x", "y"))
     keep = [c for c in (
         "patch_id", "pair_id", "district", "split", "image_id_t1", "image_id_t2", "year_t1", "season_t1", "year_t2",
@@ -97,7 +106,7 @@ def patch_index(
     return index.select(*keep), errors
 
 
-def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42) -> DataFrame:
+def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42, named: bool = False) -> DataFrame:
     """At most ``max_per_pair`` patches per pair, round-robin over coarse spatial bins.
 
     Bins are visited in text order of ``x_y``, hash order inside a bin. The k-th
@@ -106,6 +115,11 @@ def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42) -
     pair, for its extent, its bins and its turns alike (a pair's patches are the
     grid of one raster), and the sampled ones once by their id: a repeated patch
     id stops the job. ``patches`` is worked out once and nothing is written.
+
+    ``named`` says that ids are ``fn.patch_id`` of pair, x and y and that a pair has
+    one patch size; a row that differs stops the job. Equal ids are then rows of one
+    pair and one place, next to each other in its hash order, so that no shuffle by
+    id is needed; and patches that lie together by pair are not shuffled at all.
     """
     if max_per_pair <= 0:
         raise ValueError("max_per_pair must be positive")
@@ -125,20 +139,30 @@ def spatial_sample(patches: DataFrame, max_per_pair: int = 50, seed: int = 42) -
         scaled = F.try_divide(v - lo, hi - lo) * per_axis
         return F.coalesce(F.least(F.greatest(F.floor(scaled), F.lit(0)), F.lit(per_axis - 1)), F.lit(0)).cast("string")
 
+    def stop(message: str) -> Column:
+        return F.raise_error(F.lit(message)).cast("string")
+
+    if named:
+        odd = (F.col("patch_id") != fn.patch_id("pair_id", "x", "y")) | (F.col("patch_size") != F.min("patch_size").over(pair))
+        spanned = spanned.withColumn("patch_id", F.when(odd, stop("a patch id does not name its pair and place")).otherwise(F.col("patch_id")))
     binned = spanned.withColumns({"__bin": F.concat_ws("_", bin_of("x"), bin_of("y")), "__h": fn.hash_key(seed, "patch_id")})
-    place = F.row_number().over(Window.partitionBy("pair_id", "__bin").orderBy("__h", "patch_id"))
-    firsts = binned.withColumn("__r", place).filter(F.col("__r") <= max_per_pair)
+    order = Window.partitionBy("pair_id", "__bin").orderBy("__h", "patch_id")
+    ranked = binned.withColumn("__r", F.row_number().over(order))
+    if named:
+        ranked = ranked.withColumn("__again", F.col("patch_id") == F.lag("patch_id").over(order))
+    firsts = ranked.filter(F.col("__r") <= max_per_pair)
     turn = F.row_number().over(pair.orderBy("__r", "__bin"))
     kept = firsts.withColumn("__turn", turn).filter(F.col("__turn") <= max_per_pair)
     total = F.col("sampled_from_total_pair_patches")
-    twice = F.row_number().over(Window.partitionBy("patch_id").orderBy("pair_id")) > 1
+    # a copy has its turn after the row before it, so both are sampled
+    twice = F.col("__again") if named else F.row_number().over(Window.partitionBy("patch_id").orderBy("pair_id")) > 1
     checked = kept.select(
         *patches.columns, "patch_center_x", "patch_center_y", "sampled_from_total_pair_patches",
-        (F.least(total, F.lit(max_per_pair)) / total).alias("pair_sampling_ratio"),
+        (F.least(total, F.lit(max_per_pair)) / total).alias("pair_sampling_ratio"), *(["__again"] if named else []),
     ).withColumn(
-        "patch_id", F.when(twice, F.raise_error(F.lit("sampled patch ids are not unique")).cast("string")).otherwise(F.col("patch_id"))
+        "patch_id", F.when(twice, stop("sampled patch ids are not unique")).otherwise(F.col("patch_id"))
     )
-    return checked.filter(F.col("patch_id").isNotNull())
+    return checked.filter(F.col("patch_id").isNotNull()).drop("__again")
 
 
 def _labels(valid: Column, changed: Column, total: Column, minimum: float) -> dict[str, Column]:

@@ -44,3 +44,12 @@ def same_as_sql(spark, folder, name):
 
 def test_train_stats_are_verified(spark, folder):
     assert same_as_sql(spark, folder, "A22_verify_train_stats") > 20
+
+
+@pytest.mark.parametrize("name,shuffles", [("W4_spatial_sample", 0)])
+def test_patches_are_sampled_where_their_pair_lies(spark, folder, name, shuffles):
+    """Pairs are shuffled before their grids are made, patches are not; the report shuffles its numbers by pair."""
+    assert same_as_sql(spark, folder, name) > 10
+    plan = QUERIES[name].spark(spark, folder)._jdf.queryExecution().executedPlan().toString().splitlines()
+    by_id = [line for line in plan if "hashpartitioning(pair_id" in line or "hashpartitioning(patch_id" in line]
+    assert sum("ENSURE_REQUIREMENTS" in line for line in by_id) == shuffles

@@ -194,3 +194,25 @@ def test_representatives_fill_to_the_target(spark):
     assert {(r.patch_id, r.selection_reason) for r in again.collect()} == {(r.patch_id, r.selection_reason) for r in got}
     index = df.select("patch_id", F.concat(F.lit("/"), "patch_id").alias("npz_path"))
     assert ex.handoff_samples(df, index, 50).count() == 50 and ex.handoff_samples(df, index, 900).count() == 200
+
+
+@pytest.mark.parametrize("most", [1, 4, 10, 50])
+def test_spatial_sample_of_named_patches(spark, most):
+    """Ids that say pair and place: same rows, and patches that lie together by pair are not shuffled."""
+    rows = [(f"{p}_x{x}_y{y}", x, y, p) for p, nx, ny in (("a", 12, 9), ("b", 1, 30), ("c", 2, 2)) for x in range(0, nx * 64, 64) for y in range(0, ny * 64, 64)]
+    df = spark.createDataFrame([(*r, 128) for r in rows], "patch_id string, x int, y int, pair_id string, patch_size int")
+    laid = df.repartition(6, "pair_id")
+    named = pt.spatial_sample(laid, most, named=True)
+    assert named._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {tuple(r) for r in pt.spatial_sample(df, most).collect()}
+    assert {tuple(r) for r in named.collect()} == want
+    twice = laid.unionByName(laid)
+    if most == 50:  # both copies of an id are sampled
+        with pytest.raises(Exception, match="not unique"):
+            pt.spatial_sample(twice, most, named=True).collect()
+    if most == 1:  # a copy of a sampled row does not come along
+        assert len(pt.spatial_sample(twice, most, named=True).collect()) == 3
+    with pytest.raises(Exception, match="does not name"):
+        pt.spatial_sample(laid.withColumn("patch_id", F.concat("patch_id", F.lit("a"))), most, named=True).collect()
+    with pytest.raises(Exception, match="does not name"):
+        pt.spatial_sample(laid.withColumn("patch_size", F.col("x") + 1), most, named=True).collect()
