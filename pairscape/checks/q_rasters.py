@@ -467,8 +467,8 @@ def sampling_sql() -> str:
        sampling_sql() + "SELECT s.pair_id, split, district, s.n AS original_patch_count, k AS sampled_patch_count, k / CAST(s.n AS DOUBLE) AS sampling_ratio "
        "FROM span s JOIN meta m ON m.pair_id = s.pair_id JOIN took t ON t.pair_id = s.pair_id")
 def _(t):
-    full = index_df(t)
-    return rp.per_pair_sampling(full, pt.spatial_sample(full, 8))
+    full = index_df(t, by_pair=True)
+    return rp.per_pair_sampling(full, pt.spatial_sample(full, 8, named=True))
 
 
 @query("R12_sampling_report", REPORT,
