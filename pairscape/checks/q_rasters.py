@@ -478,8 +478,8 @@ def _(t):
                      min_original_patches_per_pair="min(n)", max_original_patches_per_pair="max(n)", mean_original_patches_per_pair="avg(n)")
        + " UNION ALL " + counts_sql("smp", **{f"sampled_by_{c}": c for c in ("split", "district", "pair_type", "time_gap_group")}))
 def _(t):
-    full = index_df(t)
-    return rp.sampling_report(full, pt.spatial_sample(full, 8))
+    full = index_df(t, by_pair=True)
+    return rp.sampling_report(full, pt.spatial_sample(full, 8, named=True))
 
 
 @query("J14_attach_labels", "patch_id:s label_status:s change_class:s change_ratio:d label_error_message:s",

@@ -46,7 +46,7 @@ def test_train_stats_are_verified(spark, folder):
     assert same_as_sql(spark, folder, "A22_verify_train_stats") > 20
 
 
-@pytest.mark.parametrize("name,shuffles", [("W4_spatial_sample", 0), ("R12_per_pair_sampling", 0)])
+@pytest.mark.parametrize("name,shuffles", [("W4_spatial_sample", 0), ("R12_per_pair_sampling", 0), ("R12_sampling_report", 1)])
 def test_patches_are_sampled_where_their_pair_lies(spark, folder, name, shuffles):
     """Pairs are shuffled before their grids are made, patches are not; the report shuffles its numbers by pair."""
     assert same_as_sql(spark, folder, name) > 10
