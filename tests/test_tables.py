@@ -38,6 +38,39 @@ def test_two_images_of_one_slot_get_numbered_pairs(spark):
     assert ids == [base, base + "_2", base + "_3", base + "_4"]
 
 
+@pytest.mark.parametrize("most", [3, 2048])
+def test_pairs_of_repeated_images_and_splits_are_numbered_in_order(spark, monkeypatch, most):
+    """Ids repeat inside a slot, in other splits and as whole rows; a place is one part or many."""
+    monkeypatch.setattr(pr, "PLACE_IMAGES", most)
+    rng = random.Random(5)
+    rows = [
+        (rng.choice(["D", "D", "E", None]), rng.choice(["train", "val", "test", None]), rng.choice([2016, 2017]), rng.choice([*SEASONS, "Spring", None]),
+         rng.choice(["a", "b", "c", None]))
+        for _ in range(60)
+    ]
+    kind = "district string, split string, year int, season string, image_id string"
+    order = {s: i for i, s in enumerate(SEASONS)}
+    known = [(*r, r[2] * 4 + order[r[3]]) for r in rows if r[0] and r[1] and r[3] in order]
+    pairs = sorted(
+        (f"{a[0]}_{a[2]}_{a[3]}_to_{b[2]}_{b[3]}", a[1], a[4] or "", b[4] or "")
+        for a in known for b in known if a[:2] == b[:2] and b[5] > a[5]
+    )
+    seen, want = {}, []
+    for name, *rest in pairs:
+        seen[name] = seen.get(name, 0) + 1
+        want.append((name if seen[name] == 1 else f"{name}_{seen[name]}", *rest))
+    found = pr.forward_pairs(spark.createDataFrame(rows, kind))
+    assert max(seen.values()) > 4 and "hashpartitioning(district#" in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.pair_id, r.split, r.image_id_t1 or "", r.image_id_t2 or "") for r in found.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_forward_pairs_shuffle_images_only(spark):
+    text = pr.forward_pairs(images(spark, 2))._jdf.queryExecution().executedPlan().toString()
+    join = max(text.rfind("SortMergeJoin"), text.rfind("BroadcastHashJoin"), text.rfind("ShuffledHashJoin"))
+    assert join >= 0 and "Exchange" not in text[:join]
+
+
 @pytest.mark.parametrize("targets,reuse,fallback", [({"train": 40, "val": 8}, 3, 5), ({"train": 500, "val": 500}, 2, 4), ({"train": 5, "val": 0}, 1, 1)])
 def test_constrained_pairs_invariants(spark, targets, reuse, fallback):
     cand = pr.forward_pairs(images(spark))
