@@ -274,3 +274,51 @@ def test_final_selection_is_stable_and_valid(spark):
     se.check_selection(se.final_selection(df, {"train": 400}))
     with pytest.raises(ValueError):
         se.check_selection(df.unionByName(df))
+
+
+def test_medians_and_moments_of_columns(spark, monkeypatch):
+    """Against NumPy: signs, zeros, infinities, nulls, wide and narrow values, few and many of them."""
+    from pairscape.operators import columns
+
+    monkeypatch.setattr(columns, "LISTED", 50)
+    monkeypatch.setattr(columns, "COLUMNS", 4)
+    rng = np.random.default_rng(3)
+    n = 4001
+    data = {
+        "normal": rng.normal(5, 2, n), "close": 1 + rng.integers(0, 4000, n) * 2.0**-50, "signs": rng.normal(0, 1, n) ** 9 * 1e30,
+        "flags": (rng.random(n) < 0.4).astype(float), "zeros": np.where(rng.random(n) < 0.5, -0.0, 0.0), "inf": np.where(rng.random(n) < 0.2, np.inf, rng.random(n)),
+        "tiny": rng.random(n) * 5e-324 * 9, "one": np.where(np.arange(n) == 7, 3.5, np.nan), "none": np.full(n, np.nan),
+        "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.integers(-9, 9, n)),
+    }
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(zip(*data.values(), strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
+    got = {r[0]: r[1:] for r in columns.medians_and_moments(df, list(data))}
+    assert list(got) == list(data)
+    for c, v in data.items():
+        known = v[~np.isnan(v)]
+        count, k, mean, variance, median = got[c]
+        assert (count, k) == (n, len(known)), c
+        if not k:
+            assert (mean, variance, median) == (None, None, None)
+            continue
+        assert median == np.median(known), c
+        with np.errstate(all="ignore"):
+            assert np.isclose(mean, known.mean()) and np.isclose(variance, known.var(), equal_nan=True), c
+    assert columns.medians_and_moments(df.limit(0), ["normal"]) == []
+    # two middle values of different intervals
+    two = spark.createDataFrame([(-4.0,), (-1.0,), (2.0,), (7e200,)], "v double")
+    assert columns.medians_and_moments(two, ["v"])[0][-1] == 0.5
+
+
+def test_split_means_of_many_columns(spark, monkeypatch):
+    from pairscape.operators import audit as au
+
+    monkeypatch.setattr(au, "TOGETHER", 2)
+    df = spark.createDataFrame([("a", 1.0, -8.0, None), ("a", 3.0, float("nan"), None), (None, 5.0, 9.0, 2.0)], "split string, u double, v double, w double")
+    got = {(r.split, r.feature): (r.rows, r.mean, r["std"], r.top) for r in au._split_means(df, ["u", "v", "w"]).collect()}
+    assert got == {
+        ("a", "u"): (2, 2.0, 1.0, 3.0), ("a", "v"): (2, -8.0, 0.0, 8.0), ("a", "w"): (2, None, None, None),
+        (None, "u"): (1, 5.0, 0.0, 5.0), (None, "v"): (1, 9.0, 0.0, 9.0), (None, "w"): (1, 2.0, 0.0, 2.0),
+    }
+    plan = au._split_means(df, ["u", "v", "w"])._jdf.queryExecution().executedPlan().toString()
+    assert not any("feature#" in line.partition("functions=")[0] for line in plan.splitlines() if "Aggregate(keys=[split#" in line)
